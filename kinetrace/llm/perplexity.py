@@ -7,10 +7,12 @@ count tables sharded by n-gram: with its context's sums, for the discounts, and
 lower order. Orders below the highest use continuation counts, except n-grams at a word's start, which have
 nothing before them.
 
-Trusted rows are a bounded sample: the `max_trusted` documents (40,000) with the smallest hashes of doc_id.
+Half of the trusted documents, by hash, are for training, and the other half sets the thresholds, so that a
+document the model has not seen is held to the same measure. The training rows are a bounded sample: the
+`max_trusted` (40,000) with the smallest hashes of doc_id.
 The size of the model is checked against `max_grams` before it is sent to the workers; beyond that the model is
 trained again on half as many rows. All documents are scored on all their words, and the threshold of a language is
-a quantile of the perplexities of all trusted documents in it, times a margin; languages without enough trusted documents use the
+a quantile of the perplexities of all held-out trusted documents in it, times a margin; languages without enough trusted documents use the
 model and threshold of all languages together.
 
 Defined cases: null and empty texts have no perplexity and are rejected; a null language is scored with the
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 from uuid import uuid4
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetrace.llm.text import WORD
@@ -46,6 +48,11 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return per_doc.agg(F.min(F.expr("quality = 1 and coalesce(toxic, 0) = 0")).alias("good")).where("good").select("doc_id")
 
 
+def held_out() -> Column:
+    """The half of the documents, by hash, whose trusted ones set the thresholds and are never trained on."""
+    return F.expr("pmod(xxhash64(cast(doc_id as bigint)), 2) = 1")
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(lang, word, n) of documents, for each language and for all together."""
     found = texts.select("lang", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
@@ -158,7 +165,7 @@ def _scoring(shared, key: int):
 
 def fit(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED, max_grams: int = MAX_GRAMS) -> dict[str, tuple[dict, dict]]:
     """language -> (log2 p, log2 backoff) by n-gram, from a bounded sample of the trusted documents."""
-    ids = trusted_ids(labels).orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = trusted_ids(labels).where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id")
     while True:
         sample = F.broadcast(ids.limit(max_trusted))  # at most max_trusted ids of 8 bytes
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(sample, "doc_id")
@@ -185,7 +192,7 @@ def scored(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margi
     scores = cut(rows.mapInArrow(_scoring(shared, uuid4().int), "doc_id long, lang string, uid long, perplexity double"))
     good = trusted_ids(labels).withColumn("trusted", F.lit(True))
     scores = scores.join(good, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    trusted = scores.where("trusted and perplexity is not null")
+    trusted = scores.where(F.col("trusted") & held_out() & F.col("perplexity").isNotNull())
     q = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("q")
     by_lang = trusted.groupBy("lang").agg(q, F.count("*").alias("n")).where(f"n >= {LEAST_TRUSTED}").select("lang", "q")
     overall = trusted.agg(q).first()["q"]
