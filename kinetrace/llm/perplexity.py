@@ -78,7 +78,8 @@ def train(words: DataFrame, order: int = ORDER) -> DataFrame:
         t = g.groupBy("lang").agg(*[F.count_if(F.col("c") == i).cast("double").alias(f"t{i}") for i in range(1, 5)])
         y = "coalesce(try_divide(t1, t1 + 2 * t2), 0.5D)"
         d = [f"least(greatest(coalesce({i} - {i + 1} * {y} * try_divide(t{i + 1}, t{i}), {v}D), 0.05D), {i - 0.05}D) as d{i}" for i, v in ((1, 0.5), (2, 0.75), (3, 0.9))]
-        g = g.join(t.selectExpr("lang", *d), "lang").withColumn("d", F.expr("case when c = 1 then d1 when c = 2 then d2 else d3 end"))
+        # One row a language, of which the sample has at most max_trusted: a shuffle would deal n-grams to as many tasks.
+        g = g.join(F.broadcast(t.selectExpr("lang", *d)), "lang").withColumn("d", F.expr("case when c = 1 then d1 when c = 2 then d2 else d3 end"))
         sums = g.groupBy("lang", "context").agg(F.sum("c").cast("double").alias("total"), F.sum("d").alias("mass"), F.count("*").alias("kinds"))
         g = g.join(sums, ["lang", "context"])
         own, share = F.expr("(c - d) / total"), F.col("mass") / F.col("total")
