@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetrace.llm.graph import components
-from kinetrace.llm.text import U, minhash, mix, multipliers, shingles, span_hashes, word_blocks, word_bounds, words
+from kinetrace.llm.text import U, minhash, mix, multipliers, shingles, span_hashes, utf8, word_blocks, word_bounds
 from kinetrace.session import cut, prepare
 
 NO_ID = -(1 << 63)
@@ -55,40 +55,81 @@ def anchored_windows(text: str | None, window: int, anchors: int) -> tuple[np.nd
     return np.concatenate(hs)[once], at
 
 
-def long_lines(text: str | None, least: int) -> Iterator[tuple[int, int, str]]:
-    """(first word, number of words, line) of the lines with `least` words or more."""
+def long_lines(text: str | None, least: int) -> Iterator[tuple[int, int, bytes]]:
+    """(first word, number of words, words joined by one space) of the lines with `least` words or more."""
     first = 0
-    for line in (text or "").split("\n"):
-        n = len(words(line))
-        if n >= least:
-            yield first, n, line
-        first += n
-
-
-def _line_hash(line: str) -> int:
-    joined = b" ".join(words(line))
-    h = span_hashes(joined, np.zeros(1, np.int64), np.array([len(joined)]))
-    return int(mix(h ^ U(0x5C))[0].astype(np.int64))
+    for line in utf8(text).split(b"\n"):
+        found = line.split()
+        if len(found) >= least:
+            yield first, len(found), b" ".join(found)
+        first += len(found)
+
+
+def _groups(lines: list[bytes], most: int = 1 << 16) -> Iterator[list[bytes]]:
+    """Runs of lines of about `most` bytes; the hashes of one run are computed together."""
+    held, size = [], 0
+    for line in lines:
+        if held and size + len(line) > most:
+            yield held
+            held, size = [], 0
+        held.append(line)
+        size += len(line)
+    if held:
+        yield held
+
+
+def line_hashes(lines: list[bytes]) -> np.ndarray:
+    """One hash for each line of words joined by one space."""
+    out = []
+    for group in _groups(lines):
+        size = np.array([len(x) for x in group])
+        ends = np.cumsum(size + 1) - 1
+        out.append(mix(span_hashes(b" ".join(group), ends - size, ends) ^ U(0x5C)).astype(np.int64))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def line_minhashes(lines: list[bytes], mult: np.ndarray, k: int = 5) -> np.ndarray:
+    """A row of MinHash values for each line of a word or more, over its k-word shingles."""
+    out = []
+    for group in _groups(lines):
+        if len(group[0]) > 1 << 20:  # one very long line is read in blocks
+            out.append(minhash(shingles(group[0].decode("utf-8", "surrogatepass"), k), mult).astype(U)[None])
+            continue
+        joined = b" ".join(group)
+        s, e = word_bounds(joined)
+        n = np.array([x.count(b" ") + 1 for x in group])
+        wide = np.minimum(n, k)
+        count, word = n - wide + 1, np.cumsum(n) - n
+        begin = np.cumsum(count) - count
+        line = np.repeat(np.arange(len(group)), count)
+        at = np.arange(len(line)) + (word - begin)[line]
+        h = span_hashes(joined, s[at], e[at + wide[line] - 1])
+        out.append(np.stack([np.minimum.reduceat((h * m) >> U(32), begin) for m in mult], axis=1))
+    return np.concatenate(out)
 
 
 def _paragraphs(window: int, anchors: int):
     names = ["h", "doc_id", "start", "n"]
 
+    def flush(cols, lines):
+        cols[0].append(line_hashes([x[3] for x in lines]))
+        for i in range(3):
+            cols[i + 1].append(np.array([x[i] for x in lines], np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [[], [], [], []]
+            cols, lines = [[], [], [], []], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 h, at = anchored_windows(text, window, anchors)
-                lines = [(_line_hash(x), first, n) for first, n, x in long_lines(text, window)]
-                cols[0].append(np.concatenate((h.astype(np.int64), np.array([x[0] for x in lines], np.int64))))
-                cols[1].append(np.full(len(h) + len(lines), doc, np.int64))
-                cols[2].append(np.concatenate((at, np.array([x[1] for x in lines], np.int64))))
-                cols[3].append(np.concatenate((np.full(len(h), window, np.int64), np.array([x[2] for x in lines], np.int64))))
+                lines += [(doc, *x) for x in long_lines(text, window)]
+                for col, x in zip(cols, (h.astype(np.int64), np.full(len(h), doc, np.int64), at, np.full(len(h), window, np.int64)), strict=True):
+                    col.append(x)
                 if len(cols[0]) >= 256:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names)
-                    cols = [[], [], [], []]
+                    yield flush(cols, lines)
+                    cols, lines = [[], [], [], []], []
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names)
+                yield flush(cols, lines)
 
     return run
 
@@ -96,25 +137,25 @@ def _paragraphs(window: int, anchors: int):
 def _banded(window: int, bands: int, rows: int):
     mult = multipliers(bands * rows, 2)
 
+    def flush(found):
+        lines = [x[3] for x in found]
+        m = line_minhashes(lines, mult).reshape(len(found), bands, rows)
+        key = np.tile(np.arange(1, bands + 1, dtype=U), (len(found), 1))
+        for r in range(rows):
+            key = mix(key ^ m[:, :, r]) + U(r)
+        keys = pa.ListArray.from_arrays(np.arange(0, key.size + 1, bands, dtype=np.int32), key.astype(np.int64).ravel())
+        return pa.RecordBatch.from_arrays([keys, pa.array(line_hashes(lines)), *(pa.array([x[i] for x in found], pa.int64()) for i in range(3))], ["keys", "h", "doc_id", "start", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, hs, docs, starts, ns = [], [], [], [], []
+            found = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for first, n, line in long_lines(text, window):
-                    m = minhash(shingles(line), mult).reshape(bands, rows).astype(U)
-                    key = np.arange(1, bands + 1, dtype=U)
-                    for r in range(rows):
-                        key = mix(key ^ m[:, r]) + U(r)
-                    keys.append(key.astype(np.int64))
-                    hs.append(_line_hash(line))
-                    docs.append(doc)
-                    starts.append(first)
-                    ns.append(n)
-            if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k.tolist() for k in keys], pa.list_(pa.int64())), *(pa.array(x, pa.int64()) for x in (hs, docs, starts, ns))],
-                    ["keys", "h", "doc_id", "start", "n"],
-                )
+                found += [(doc, *x) for x in long_lines(text, window)]
+                if len(found) >= 1024:
+                    yield flush(found)
+                    found = []
+            if found:
+                yield flush(found)
 
     return run
 
@@ -125,8 +166,8 @@ def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, starts in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
             want = {(x["start"], x["n"]): x["h"] for x in starts}
             for first, n, line in long_lines(text, min(x["n"] for x in starts)):
-                if (first, n) in want and _line_hash(line) == want[first, n]:
-                    out.append((want[first, n], shingles(line).tobytes()))
+                if (first, n) in want and line_hashes([line])[0] == want[first, n]:
+                    out.append((want[first, n], shingles(line.decode("utf-8", "surrogatepass")).tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["h", "set"])
 
 
@@ -147,13 +188,15 @@ def _jaccard(threshold: float):
 
 def line_clusters(texts: DataFrame, window: int, bands: int, rows: int, threshold: float) -> DataFrame:
     """(h, cluster) of the lines that are verified near copies of other, different lines."""
-    banded = cut(texts.mapInArrow(_banded(window, bands, rows), "keys array<long>, h long, doc_id long, start long, n long"))
-    keyed = banded.select("h", F.explode("keys").alias("key")).distinct()
+    banded = texts.mapInArrow(_banded(window, bands, rows), "keys array<long>, h long, doc_id long, start long, n long")
+    # Equal lines become one row before their bands are dealt out.
+    lines = cut(banded.groupBy("h").agg(F.min(F.struct("doc_id", "start", "n")).alias("x"), F.first("keys").alias("keys")))
+    keyed = lines.select("h", F.explode("keys").alias("key"))
     ranked = F.struct(F.xxhash64("h", "key").alias("rank"), F.col("h").alias("h"))
     buckets = keyed.groupBy("key").agg(F.min(ranked).alias("lead"), F.count("*").alias("m")).where("m > 1")
     edges = cut(keyed.join(buckets, "key").select(F.col("h").alias("a"), F.col("lead.h").alias("b")).where("a <> b").distinct())
     wanted = edges.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    one = banded.groupBy("h").agg(F.min(F.struct("doc_id", "start", "n")).alias("x")).join(wanted, "h", "left_semi")
+    one = lines.select("h", "x").join(wanted, "h", "left_semi")
     per_doc = one.groupBy("x.doc_id").agg(F.collect_list(F.struct("h", "x.start", "x.n")).alias("wanted"))
     sets = texts.join(per_doc, "doc_id").select("text", "wanted").mapInArrow(_line_sets, "h long, set binary").dropDuplicates(["h"])
     sets = cut(sets)
