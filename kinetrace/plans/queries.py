@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kinetrace.functions import tasks
 from kinetrace.operators import curation, quality, redundancy, telemetry, validation
-from kinetrace.session import prepare
+from kinetrace.session import prepare, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -500,3 +500,17 @@ def axis_distance(spark, sf_dir):
     s = u.groupBy("label", "i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("n"))
     g = s.groupBy("label").agg(F.max("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("w"), F.sum("q").alias("q"))
     return g.select("label", "n", F.round((F.col("w") - F.col("q")) / (F.col("n") * (F.col("n") - 1)), 5).alias("within"))
+
+
+@query(SQL["metric_series_tumbling"])
+def metric_series_stream(spark, sf_dir):
+    """The windows of a stream over the files that are there, in update of one complete result."""
+    from kinetrace.streaming.metrics import run_available, windows
+
+    like = _t(spark, sf_dir, "events")
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(raw).parquet(f"{sf_dir}/events.parque[t]")
+    stream = stream.select(F.col("event_type").alias("name"), F.col("ts").cast(like.schema["ts"].dataType).alias("ts"), "value")
+    to = shared_folder(spark, "metric-stream")
+    run_available(windows(stream), f"{to}/rows", f"{to}/state", "complete")
+    return spark.read.parquet(f"{to}/rows").select("name", F.unix_micros("start").alias("start_us"), F.round("mean", 6).alias("mean"), "n")
