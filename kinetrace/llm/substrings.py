@@ -7,9 +7,9 @@ line, and the same one in each copy.
 
 Paragraph MinHash banding: a line has `bands` bands of `rows` MinHash values, tuned so that a pair at the
 threshold collides with a chance of 1 - (1 - threshold**rows)**bands (0.997). A window, of which a
-repeated passage holds several, has one band of all its words, its hash. Colliding lines are joined
-with the leader of their band bucket, verified by the exact Jaccard index of their shingle sets, and clustered
-by connected components; equal paragraphs are one node. Of each cluster that spans several documents the
+repeated passage holds several, has one band of all its words, its hash. Colliding lines are verified by the
+exact Jaccard index of their shingle sets, first with the leader of their band bucket, and where a line is unlike
+its leader each with each, and clustered by connected components; equal paragraphs are one node. Of each cluster that spans several documents the
 instance with the smallest (doc_id, start) stays and the others are removals.
 
 Defined cases: null text counts as empty; documents without a long enough paragraph have no row; null
@@ -24,12 +24,13 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetrace.llm.graph import components
+from kinetrace.llm.neardup import _verifier
 from kinetrace.llm.text import U, minhash, mix, multipliers, shingles, span_hashes, utf8, word_blocks, word_bounds
-from kinetrace.session import cut, prepare
+from kinetrace.session import cut, partitions, prepare
 
 NO_ID = -(1 << 63)
 
@@ -186,22 +187,41 @@ def _jaccard(threshold: float):
     return run
 
 
-def line_clusters(texts: DataFrame, window: int, bands: int, rows: int, threshold: float) -> DataFrame:
+def _bucket_links(members: DataFrame, edges: DataFrame, good: DataFrame, sets: DataFrame, threshold: float, block_lines: int, block_shingles: int) -> DataFrame:
+    """(a, b) of verified lines of the buckets in which a line is unlike the leader: all their other pairs are compared.
+
+    Where all lines are like the leader, they are one cluster already. A bucket is compared in blocks of bounded size.
+    """
+    failed = edges.join(good, ["a", "b"], "left_anti").select(F.col("a").alias("h"), F.col("b").alias("lead"))
+    unlike = members.join(failed, ["h", "lead"], "left_semi").select("key").distinct()
+    inside = cut(members.join(unlike, "key", "left_semi").select("key", "h", "n"))
+    size = F.greatest(F.count("*") / block_lines, F.sum("n") / block_shingles)
+    blocks = inside.groupBy("key").agg(F.ceil(size).cast("int").alias("parts"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("h")).alias("sig")).where("m > 1")
+    blocks = blocks.dropDuplicates(["m", "sig"])  # the same lines meet in several bands
+    dealt = inside.join(blocks, "key").select("key", "h", "parts", F.pmod(F.hash("h"), "parts").alias("chunk"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.join(sets, "h").select(F.col("key").alias("component"), F.least("chunk", "other").alias("bi"), F.greatest("chunk", "other").alias("bj"), F.col("h").alias("uid"), "chunk", F.col("set").alias("text"))
+    dealt = dealt.repartition(partitions(sets.sparkSession), "component", "bi", "bj").sortWithinPartitions("component", "bi", "bj")
+    return dealt.mapInArrow(_verifier(threshold), "uid long, links long, root long").select(F.col("uid").alias("a"), F.col("root").alias("b")).where("a <> b")
+
+
+def line_clusters(texts: DataFrame, window: int, bands: int, rows: int, threshold: float, block_lines: int = 1000, block_shingles: int = 100_000) -> DataFrame:
     """(h, cluster) of the lines that are verified near copies of other, different lines."""
     banded = texts.mapInArrow(_banded(window, bands, rows), "keys array<long>, h long, doc_id long, start long, n long")
     # Equal lines become one row before their bands are dealt out.
     lines = cut(banded.groupBy("h").agg(F.min(F.struct("doc_id", "start", "n")).alias("x"), F.first("keys").alias("keys")))
-    keyed = lines.select("h", F.explode("keys").alias("key"))
-    ranked = F.struct(F.xxhash64("h", "key").alias("rank"), F.col("h").alias("h"))
-    buckets = keyed.groupBy("key").agg(F.min(ranked).alias("lead"), F.count("*").alias("m")).where("m > 1")
-    edges = cut(keyed.join(buckets, "key").select(F.col("h").alias("a"), F.col("lead.h").alias("b")).where("a <> b").distinct())
+    keyed = lines.select("h", F.col("x.n").alias("n"), F.explode("keys").alias("key"))
+    ranked = Window.partitionBy("key").orderBy(F.xxhash64("h", "key"), "h")
+    members = cut(keyed.withColumn("lead", F.first("h").over(ranked)).where("h <> lead"))
+    edges = cut(members.select(F.col("h").alias("a"), F.col("lead").alias("b")).distinct())
     wanted = edges.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     one = lines.select("h", "x").join(wanted, "h", "left_semi")
     per_doc = one.groupBy("x.doc_id").agg(F.collect_list(F.struct("h", "x.start", "x.n")).alias("wanted"))
     sets = texts.join(per_doc, "doc_id").select("text", "wanted").mapInArrow(_line_sets, "h long, set binary").dropDuplicates(["h"])
     sets = cut(sets)
     pairs = edges.join(sets.select(F.col("h").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("set").alias("sb")), "b")
-    good = pairs.select("a", "b", "sa", "sb").mapInArrow(_jaccard(threshold), "a long, b long")
+    good = cut(pairs.select("a", "b", "sa", "sb").mapInArrow(_jaccard(threshold), "a long, b long"))
+    good = good.unionByName(_bucket_links(members, edges, good, sets, threshold, block_lines, block_shingles))
     return components(good).select(F.col("node").alias("h"), F.col("component").alias("cluster"))
 
 

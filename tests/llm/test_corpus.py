@@ -123,6 +123,42 @@ def test_op2_near_copies_of_lines(spark):
     assert len(lines) == 2 and len({r.cluster for r in lines}) == 1
 
 
+@pytest.mark.parametrize("block", [1000, 5])
+def test_op2_compares_all_lines_of_a_bucket(spark, block):
+    rng = random.Random(11)
+    base, rows = prose(rng, 80).split(), []
+    for i in range(120):  # families of two, far from each other and from most leaders
+        family = list(base)
+        for at in (i % 30, 40 + i % 30):
+            family[at] = f"family{i}"
+        for j in range(2):
+            line = list(family)
+            line[75] += "own" * j
+            rows.append((2 * i + j, " ".join(line), "en", "s", 0))
+    got = {r.h: r.cluster for r in substrings.line_clusters(spark.createDataFrame(rows, DOCS).select("doc_id", "text"), 32, 8, 3, 0.8, block_lines=block).collect()}
+    lines = [r[1].encode() for r in rows]
+    h, m = substrings.line_hashes(lines).tolist(), substrings.line_minhashes(lines, substrings.multipliers(24, 2)).reshape(len(rows), 8, 3)
+    grams, up = [sets(r[1]) for r in rows], list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 9 * len(grams[a] & grams[b]) >= 4 * (len(grams[a]) + len(grams[b])) and (m[a] == m[b]).all(axis=1).any():
+                up[root(a)] = root(b)
+    want = {}
+    for i in range(len(rows)):
+        want.setdefault(root(i), set()).add(h[i])
+    clusters = {}
+    for x, c in got.items():
+        clusters.setdefault(c, set()).add(x)
+    want = {frozenset(x) for x in want.values() if len(x) > 1}
+    assert len(want) > 100 and {frozenset(x) for x in clusters.values()} == want
+
+
 def test_op3(spark, docs, nothing):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 50)] + [(None, 1, 0), (9999, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
     model = perplexity.fit(docs, labels)
