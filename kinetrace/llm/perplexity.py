@@ -7,11 +7,12 @@ count tables sharded by n-gram: with its context's sums, for the discounts, and
 lower order. Orders below the highest use continuation counts, except n-grams at a word's start, which have
 nothing before them.
 
-Half of the trusted documents, by hash, are for training, and the other half sets the thresholds, so that a
-document the model has not seen is held to the same measure. The training rows are a bounded sample: the
-`max_trusted` (40,000) with the smallest hashes of doc_id.
-The size of the model is checked against `max_grams` before it is sent to the workers; beyond that the model is
-trained again on half as many rows. All documents are scored on all their words, and the threshold of a language is
+Half of the trusted documents, by hash, are for training, all of them, and the other half sets the thresholds, so
+that a document the model has not seen is held to the same measure.
+Scoring reads the model in shards of about `max_grams` n-grams, one after the other: all n-grams and weights that a
+character needs go by the two characters before it, so each shard adds up its own characters of a text, and the sums of
+the shards make the text's perplexity. N-grams of one or two characters are in every shard. A larger model costs more
+passes over the documents, never n-grams. All documents are scored on all their words, and the threshold of a language is
 a quantile of the perplexities of all held-out trusted documents in it, times a margin; languages without enough trusted documents use the
 model and threshold of all languages together.
 
@@ -26,6 +27,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from uuid import uuid4
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,7 +39,7 @@ from kinetrace.session import cut, prepare
 ORDER = 5
 HEAD, TAIL = "\x02", "\x03"
 ALL = "\x00all"
-MAX_TRUSTED, MAX_GRAMS, LEAST_TRUSTED = 40_000, 1_500_000, 20
+MAX_GRAMS, LEAST_TRUSTED = 1_500_000, 20
 QUANTILE, MARGIN = 0.995, 1.05
 CACHE = 200_000
 
@@ -78,7 +80,7 @@ def train(words: DataFrame, order: int = ORDER) -> DataFrame:
         t = g.groupBy("lang").agg(*[F.count_if(F.col("c") == i).cast("double").alias(f"t{i}") for i in range(1, 5)])
         y = "coalesce(try_divide(t1, t1 + 2 * t2), 0.5D)"
         d = [f"least(greatest(coalesce({i} - {i + 1} * {y} * try_divide(t{i + 1}, t{i}), {v}D), 0.05D), {i - 0.05}D) as d{i}" for i, v in ((1, 0.5), (2, 0.75), (3, 0.9))]
-        # One row a language, of which the sample has at most max_trusted: a shuffle would deal n-grams to as many tasks.
+        # One row a language: a shuffle would deal n-grams to as many tasks.
         g = g.join(F.broadcast(t.selectExpr("lang", *d)), "lang").withColumn("d", F.expr("case when c = 1 then d1 when c = 2 then d2 else d3 end"))
         sums = g.groupBy("lang", "context").agg(F.sum("c").cast("double").alias("total"), F.sum("d").alias("mass"), F.count("*").alias("kinds"))
         g = g.join(sums, ["lang", "context"])
@@ -102,12 +104,17 @@ def train(words: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 class Scorer:
-    """log2 probabilities of words under one language's model, remembered in a bounded cache."""
+    """log2 probabilities of words under one language's model, or under one shard of it, remembered in a bounded cache."""
 
-    def __init__(self, p: dict[str, float], backoff: dict[str, float]):
+    def __init__(self, p: dict[str, float], backoff: dict[str, float], shards: int = 1, shard: int = 0):
         self.p, self.backoff = p, backoff
+        self.shards, self.shard = shards, shard
         self.known: dict[str, tuple[float, int]] = {}
 
+    def holds(self, context: str) -> bool:
+        """Whether this shard has what the characters after a context need."""
+        return self.shards == 1 or crc32(context[-2:].encode("utf-8", "surrogatepass")) % self.shards == self.shard
+
     def log2(self, context: str, ch: str) -> float:
         weight = 0.0
         while True:
@@ -123,33 +130,37 @@ class Scorer:
         got = self.known.get(word)
         if got is None:
             w = HEAD + word + TAIL
-            got = sum(self.log2(w[max(0, i - ORDER + 1) : i], w[i]) for i in range(1, len(w))), len(w) - 1
+            ends = ((w[max(0, i - ORDER + 1) : i], w[i]) for i in range(1, len(w)))
+            got = sum(self.log2(c, ch) for c, ch in ends if self.holds(c)), len(w) - 1
             if len(word) <= 40:
                 if len(self.known) >= CACHE:
                     self.known.clear()
                 self.known[word] = got
         return got
 
-    def perplexity(self, words: list[str]) -> float | None:
-        if not words:
-            return None
+    def sums(self, words: list[str]) -> tuple[float, int]:
+        """The log2 probability of words, as far as this shard holds it, and their number of characters."""
         known, get = self.known, self.word
         total, n = 0.0, 0
         for w in words:
             a, b = known.get(w) or get(w)
             total += a
             n += b
-        return 2 ** min(-total / n, 1000.0)
+        return total, n
+
+    def perplexity(self, words: list[str]) -> float | None:
+        total, n = self.sums(words)
+        return 2 ** min(-total / n, 1000.0) if n else None
 
 
 _scorers: dict[int, dict[str, Scorer]] = {}
 
 
-def _scoring(shared, key: int):
+def _scoring(shared, key: int, shards: int, shard: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _scorers:
             _scorers.clear()
-            _scorers[key] = {lang: Scorer(*m) for lang, m in shared.value.items()}
+            _scorers[key] = {lang: Scorer(*m, shards, shard) for lang, m in shared.value.items()}
         models = _scorers[key]
         for batch in batches:
             out = []
@@ -157,40 +168,70 @@ def _scoring(shared, key: int):
                 model = models.get(lang) or models.get(ALL)
                 # bytes.split() cuts at the six ASCII blanks only
                 words = [w.decode("utf-8", "surrogatepass") for w in (text or "").encode("utf-8", "surrogatepass").split()]
-                out.append(model.perplexity(words) if model else (1.0 if words else None))
+                out.append(model.sums(words) if model else (0.0, len(words)))
             keep = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.float64())], [*keep, "perplexity"])
+            sums = [pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *sums], [*keep, "bits", "n"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED, max_grams: int = MAX_GRAMS) -> dict[str, tuple[dict, dict]]:
-    """language -> (log2 p, log2 backoff) by n-gram, from a bounded sample of the trusted documents."""
-    ids = trusted_ids(labels).where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id")
-    while True:
-        sample = F.broadcast(ids.limit(max_trusted))  # at most max_trusted ids of 8 bytes
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(sample, "doc_id")
-        model = cut(train(cut(word_counts(texts))))
-        if model.count() <= max_grams or max_trusted <= 100:
-            break
-        max_trusted //= 2
+def train_on(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The model (lang, gram, p, backoff) of all trusted documents that are not held out."""
+    texts = docs.where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(trusted_ids(labels), "doc_id")
+    return cut(train(cut(word_counts(texts))))
+
+
+def load(model: DataFrame, shards: int = 1, shard: int = 0) -> dict[str, tuple[dict, dict]]:
+    """language -> (log2 p, log2 backoff) by n-gram, of one shard of a model."""
+
+    def mine(last_two: str):
+        return F.expr(f"pmod(crc32(cast({last_two} as binary)), {shards}) = {shard}")
+
+    has_p = F.col("p").isNotNull() & ((F.length("gram") <= 2) | mine("substring(gram, length(gram) - 2, 2)"))
+    has_backoff = (F.col("backoff") < 1) & ((F.length("gram") <= 1) | mine("substring(gram, length(gram) - 1, 2)"))
+    rows = model.select("lang", "gram", F.when(has_p, F.col("p")).alias("p"), F.when(has_backoff, F.col("backoff")).alias("backoff")).where("p is not null or backoff is not null")
     out: dict[str, tuple[dict, dict]] = {}
-    for lang, gram, p, backoff in zip(*(c.to_pylist() for c in model.toArrow().columns), strict=True):
+    for lang, gram, p, backoff in zip(*(c.to_pylist() for c in rows.toArrow().columns), strict=True):
         ps, bs = out.setdefault(lang, ({}, {}))
         if p is not None:
             ps[gram] = math.log2(max(p, 1e-12))
-        if backoff < 1:
+        if backoff is not None:
             bs[gram] = math.log2(max(backoff, 1e-12))
     return {k: v for k, v in out.items() if "" in v[0]}
 
 
-def scored(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, **bounds) -> DataFrame:
+def fit(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[dict, dict]]:
+    """language -> (log2 p, log2 backoff) by n-gram: the whole model at once, for small corpora."""
+    return load(train_on(docs, labels))
+
+
+def perplexities(rows: DataFrame, model: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
+    """The rows with a perplexity in place of lang and text: (doc_id, lang, uid, perplexity)."""
+    spark, parts = rows.sparkSession, []
+    shards = max(1, -(-model.count() // max_grams))
+    for shard in range(shards):
+        shared = spark.sparkContext.broadcast(load(model, shards, shard))
+        parts.append(cut(rows.mapInArrow(_scoring(shared, uuid4().int, shards, shard), "doc_id long, lang string, uid long, bits double, n long")))
+        shared.unpersist()
+    sums = parts[0]
+    if shards > 1:
+        key = ["doc_id", "lang", "uid"]
+        each = parts[0].withColumn("shard", F.lit(0))
+        for i, x in enumerate(parts[1:], 1):
+            each = each.unionByName(x.withColumn("shard", F.lit(i)))
+        # Repeated rows have equal sums: each shard gives one of them, and the number of rows.
+        each = each.groupBy(*key, "shard").agg(F.max("bits").alias("bits"), F.max("n").alias("n"), F.count("*").alias("copies"))
+        found = each.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("shard", "bits"))).alias("bits"), F.max("n").alias("n"), F.max("copies").alias("copies"))
+        sums = cut(found.select(*key, F.expr("aggregate(bits, 0D, (a, x) -> a + x.bits)").alias("bits"), "n", F.explode(F.expr("sequence(1L, copies)"))))
+    return sums.select("doc_id", "lang", "uid", F.expr("if(n > 0, power(2D, least(-bits / nullif(n, 0), 1000D)), null)").alias("perplexity"))
+
+
+def scored(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, max_grams: int = MAX_GRAMS) -> DataFrame:
     """One row for each document: doc_id, lang, perplexity, threshold, trusted, kept (and the text's hash uid)."""
-    spark = prepare(docs.sparkSession)
-    model = fit(docs, labels, **bounds)
-    shared = spark.sparkContext.broadcast(model)
+    prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64(F.coalesce("text", F.lit(""))).alias("uid"), "text")
-    scores = cut(rows.mapInArrow(_scoring(shared, uuid4().int), "doc_id long, lang string, uid long, perplexity double"))
+    scores = perplexities(rows, train_on(docs, labels), max_grams)
     good = trusted_ids(labels).withColumn("trusted", F.lit(True))
     scores = scores.join(good, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     trusted = scores.where(F.col("trusted") & held_out() & F.col("perplexity").isNotNull())

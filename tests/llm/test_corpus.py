@@ -176,6 +176,22 @@ def test_op3(spark, docs, nothing):
     assert perplexity.keep_good(docs, labels).columns == docs.columns
 
 
+def test_op3_trains_on_all_and_scores_by_shards(spark, docs):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    columns = ["doc_id", "lang", "perplexity", "threshold", "kept"]
+    key = lambda r: (r.doc_id, r.lang or "")
+    twice = docs.unionByName(docs.where("doc_id < 3"))
+    grams = perplexity.train_on(twice, labels).count()
+    assert grams > 1000
+    whole = sorted(perplexity.scored(twice, labels).select(columns).collect(), key=key)
+    # a model beyond the bound is read in shards, and loses nothing
+    parts = sorted(perplexity.scored(twice, labels, max_grams=grams // 3).select(columns).collect(), key=key)
+    assert len(whole) == len(parts) == twice.count()
+    for a, b in zip(whole, parts, strict=True):
+        assert (a.doc_id, a.lang, a.kept) == (b.doc_id, b.lang, b.kept)
+        assert a.perplexity == (b.perplexity and pytest.approx(b.perplexity)) and a.threshold == pytest.approx(b.threshold)
+
+
 def test_kneser_ney_by_brute_force(spark):
     seen = {"abab": 3, "abc": 2, "b": 5, "cab": 1, "aab": 1}
     df = spark.createDataFrame([("en", w, n) for w, n in seen.items()], "lang string, word string, n long")
