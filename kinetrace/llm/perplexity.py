@@ -13,8 +13,9 @@ Scoring reads the model in shards of about `max_grams` n-grams, one after the ot
 character needs go by the two characters before it, so each shard adds up its own characters of a text, and the sums of
 the shards make the text's perplexity. N-grams of one or two characters are in every shard. A larger model costs more
 passes over the documents, never n-grams. All documents are scored on all their words, and the threshold of a language is
-a quantile of the perplexities of all held-out trusted documents in it, times a margin; languages without enough trusted documents use the
-model and threshold of all languages together.
+a quantile of the perplexities of all held-out trusted documents in it, times a margin. A language has its own model
+and its own threshold if it has enough trusted documents with a word in either half; all others use the model of all
+languages together, and its threshold, the quantile of all held-out trusted documents under that model.
 
 Defined cases: null and empty texts have no perplexity and are rejected; a null language is scored with the
 model of all languages; a document with several labels is trusted if all say so; labels without a document
@@ -39,7 +40,7 @@ from kinetrace.session import cut, prepare
 ORDER = 5
 HEAD, TAIL = "\x02", "\x03"
 ALL = "\x00all"
-MAX_GRAMS, LEAST_TRUSTED = 1_500_000, 20
+MAX_GRAMS, MAX_IDS, LEAST_TRUSTED = 1_500_000, 2_000_000, 20
 QUANTILE, MARGIN = 0.995, 1.05
 CACHE = 200_000
 
@@ -113,7 +114,7 @@ class Scorer:
 
     def holds(self, context: str) -> bool:
         """Whether this shard has what the characters after a context need."""
-        return self.shards == 1 or crc32(context[-2:].encode("utf-8", "surrogatepass")) % self.shards == self.shard
+        return crc32(context[-2:].encode("utf-8", "surrogatepass")) % self.shards == self.shard
 
     def log2(self, context: str, ch: str) -> float:
         weight = 0.0
@@ -130,8 +131,9 @@ class Scorer:
         got = self.known.get(word)
         if got is None:
             w = HEAD + word + TAIL
+            one = self.shards == 1
             ends = ((w[max(0, i - ORDER + 1) : i], w[i]) for i in range(1, len(w)))
-            got = sum(self.log2(c, ch) for c, ch in ends if self.holds(c)), len(w) - 1
+            got = sum(self.log2(c, ch) for c, ch in ends if one or self.holds(c)), len(w) - 1
             if len(word) <= 40:
                 if len(self.known) >= CACHE:
                     self.known.clear()
@@ -176,10 +178,28 @@ def _scoring(shared, key: int, shards: int, shard: int):
     return run
 
 
-def train_on(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, lang, text) of the trusted documents."""
+    return _with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), trusted_ids(labels))
+
+
+def _with_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of some documents; the ids go to all workers as long as they are few, so that the texts stay in place."""
+    ids = cut(ids)
+    return rows.join(F.broadcast(ids) if ids.count() <= MAX_IDS else ids, "doc_id")
+
+
+def own_languages(docs: DataFrame, labels: DataFrame) -> list[str]:
+    """The languages with enough trusted documents for a model and a threshold of their own."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(WORD)).select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
+    n = _with_ids(rows, trusted_ids(labels)).groupBy("lang").agg(F.count_if(held_out()).alias("held"), F.count_if(~held_out()).alias("seen"))
+    return sorted(r.lang for r in n.where(F.least("held", "seen") >= LEAST_TRUSTED).collect())
+
+
+def train_on(docs: DataFrame, labels: DataFrame, own: list[str]) -> DataFrame:
     """The model (lang, gram, p, backoff) of all trusted documents that are not held out."""
-    texts = docs.where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(trusted_ids(labels), "doc_id")
-    return cut(train(cut(word_counts(texts))))
+    words = word_counts(trusted_texts(docs.where(~held_out()), labels))
+    return cut(train(cut(words.where(F.col("lang").isin(ALL, *own)))))
 
 
 def load(model: DataFrame, shards: int = 1, shard: int = 0) -> dict[str, tuple[dict, dict]]:
@@ -203,7 +223,7 @@ def load(model: DataFrame, shards: int = 1, shard: int = 0) -> dict[str, tuple[d
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[dict, dict]]:
     """language -> (log2 p, log2 backoff) by n-gram: the whole model at once, for small corpora."""
-    return load(train_on(docs, labels))
+    return load(train_on(docs, labels, own_languages(docs, labels)))
 
 
 def perplexities(rows: DataFrame, model: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
@@ -230,14 +250,19 @@ def perplexities(rows: DataFrame, model: DataFrame, max_grams: int = MAX_GRAMS)
 def scored(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, max_grams: int = MAX_GRAMS) -> DataFrame:
     """One row for each document: doc_id, lang, perplexity, threshold, trusted, kept (and the text's hash uid)."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.xxhash64(F.coalesce("text", F.lit(""))).alias("uid"), "text")
-    scores = perplexities(rows, train_on(docs, labels), max_grams)
+    own = own_languages(docs, labels)
+    model = train_on(docs, labels, own)
+    uid = F.xxhash64(F.coalesce("text", F.lit(""))).alias("uid")
+    scores = perplexities(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", uid, "text"), model, max_grams)
     good = trusted_ids(labels).withColumn("trusted", F.lit(True))
     scores = scores.join(good, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     trusted = scores.where(F.col("trusted") & held_out() & F.col("perplexity").isNotNull())
     q = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("q")
-    by_lang = trusted.groupBy("lang").agg(q, F.count("*").alias("n")).where(f"n >= {LEAST_TRUSTED}").select("lang", "q")
-    overall = trusted.agg(q).first()["q"]
+    by_lang = trusted.where(F.col("lang").isin(own)).groupBy("lang").agg(q)
+    overall = None
+    if not scores.where(F.col("lang").isNull() | ~F.col("lang").isin(own)).isEmpty():
+        held = trusted_texts(docs.where(held_out()), labels).select("doc_id", F.lit(ALL).alias("lang"), uid, "text")
+        overall = perplexities(held, model, max_grams).agg(q).first()["q"]
     limit = F.coalesce("q", F.lit(overall).cast("double"), F.lit(float("inf"))) * margin
     out = scores.join(by_lang, "lang", "left").withColumn("threshold", limit)
     return out.select("doc_id", "lang", "perplexity", "threshold", "trusted", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"), "uid")

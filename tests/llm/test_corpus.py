@@ -181,7 +181,7 @@ def test_op3_trains_on_all_and_scores_by_shards(spark, docs):
     columns = ["doc_id", "lang", "perplexity", "threshold", "kept"]
     key = lambda r: (r.doc_id, r.lang or "")
     twice = docs.unionByName(docs.where("doc_id < 3"))
-    grams = perplexity.train_on(twice, labels).count()
+    grams = perplexity.train_on(twice, labels, []).count()
     assert grams > 1000
     whole = sorted(perplexity.scored(twice, labels).select(columns).collect(), key=key)
     # a model beyond the bound is read in shards, and loses nothing
@@ -192,6 +192,30 @@ def test_op3_trains_on_all_and_scores_by_shards(spark, docs):
         assert a.perplexity == (b.perplexity and pytest.approx(b.perplexity)) and a.threshold == pytest.approx(b.threshold)
 
 
+def test_op3_model_and_threshold_go_together(spark):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 40), "en", "s", 0) for i in range(120)]
+    # a thin language: enough documents in the half for training, too few held out, or the other way round
+    odd = [r.doc_id for r in spark.range(1000, 1400).toDF("doc_id").where(perplexity.held_out()).collect()]
+    even = [i for i in range(1000, 1400) if i not in odd]
+    for lang, ids in (("xx", even[:40] + odd[:9]), ("yy", odd[20:60] + even[40:49])):
+        rows += [(i, prose(rng, 40, 30), lang, "s", 0) for i in ids]
+    df = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality int, toxic int")
+    assert perplexity.own_languages(df, labels) == ["en"]
+    model = perplexity.fit(df, labels)
+    assert set(model) == {"en", perplexity.ALL}
+    scorers = {k: perplexity.Scorer(*v) for k, v in model.items()}
+    got = perplexity.scored(df, labels).collect()
+    assert len({r.threshold for r in got if r.lang != "en"}) == 1
+    texts = {r[0]: [w.decode() for w in words(r[1])] for r in rows}
+    for r in got:
+        assert r.perplexity == pytest.approx(scorers["en" if r.lang == "en" else perplexity.ALL].perplexity(texts[r.doc_id]))
+    held = [r.doc_id for r in df.where(perplexity.held_out()).collect()]
+    most = max(scorers[perplexity.ALL].perplexity(texts[i]) for i in held)
+    assert next(r.threshold for r in got if r.lang != "en") == pytest.approx(most * perplexity.MARGIN)
+
+
 def test_kneser_ney_by_brute_force(spark):
     seen = {"abab": 3, "abc": 2, "b": 5, "cab": 1, "aab": 1}
     df = spark.createDataFrame([("en", w, n) for w, n in seen.items()], "lang string, word string, n long")
