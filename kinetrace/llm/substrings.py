@@ -1,6 +1,6 @@
 """Substring dedup: paragraphs that repeat across documents.
 
-Paragraphs are (a) the lines of a text with `window` words or more and (b) content-anchored windows of exactly
+Paragraphs are (a) the lines of a text with `least` (five) words or more and (b) content-anchored windows of exactly
 `window` words, which start where a five-word shingle has the least hash of `anchors` successive ones. Any
 passage of `window + anchors - 1` words (51) has an anchored window wholly inside it, wherever it stands in a
 line, and the same one in each copy.
@@ -109,7 +109,7 @@ def line_minhashes(lines: list[bytes], mult: np.ndarray, k: int = 5) -> np.ndarr
     return np.concatenate(out)
 
 
-def _paragraphs(window: int, anchors: int):
+def _paragraphs(window: int, anchors: int, least: int):
     names = ["h", "doc_id", "start", "n"]
 
     def flush(cols, lines):
@@ -123,7 +123,7 @@ def _paragraphs(window: int, anchors: int):
             cols, lines = [[], [], [], []], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 h, at = anchored_windows(text, window, anchors)
-                lines += [(doc, *x) for x in long_lines(text, window)]
+                lines += [(doc, *x) for x in long_lines(text, least)]
                 for col, x in zip(cols, (h.astype(np.int64), np.full(len(h), doc, np.int64), at, np.full(len(h), window, np.int64)), strict=True):
                     col.append(x)
                 if len(cols[0]) >= 256:
@@ -135,7 +135,7 @@ def _paragraphs(window: int, anchors: int):
     return run
 
 
-def _banded(window: int, bands: int, rows: int):
+def _banded(least: int, bands: int, rows: int):
     mult = multipliers(bands * rows, 2)
 
     def flush(found):
@@ -151,7 +151,7 @@ def _banded(window: int, bands: int, rows: int):
         for batch in batches:
             found = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found += [(doc, *x) for x in long_lines(text, window)]
+                found += [(doc, *x) for x in long_lines(text, least)]
                 if len(found) >= 1024:
                     yield flush(found)
                     found = []
@@ -205,9 +205,9 @@ def _bucket_links(members: DataFrame, edges: DataFrame, good: DataFrame, sets: D
     return dealt.mapInArrow(_verifier(threshold), "uid long, links long, root long").select(F.col("uid").alias("a"), F.col("root").alias("b")).where("a <> b")
 
 
-def line_clusters(texts: DataFrame, window: int, bands: int, rows: int, threshold: float, block_lines: int = 1000, block_shingles: int = 100_000) -> DataFrame:
+def line_clusters(texts: DataFrame, least: int, bands: int, rows: int, threshold: float, block_lines: int = 1000, block_shingles: int = 100_000) -> DataFrame:
     """(h, cluster) of the lines that are verified near copies of other, different lines."""
-    banded = texts.mapInArrow(_banded(window, bands, rows), "keys array<long>, h long, doc_id long, start long, n long")
+    banded = texts.mapInArrow(_banded(least, bands, rows), "keys array<long>, h long, doc_id long, start long, n long")
     # Equal lines become one row before their bands are dealt out.
     lines = cut(banded.groupBy("h").agg(F.min(F.struct("doc_id", "start", "n")).alias("x"), F.first("keys").alias("keys")))
     keyed = lines.select("h", F.col("x.n").alias("n"), F.explode("keys").alias("key"))
@@ -233,7 +233,7 @@ def _merged(parts: str) -> str:
             concat(acc, array(named_struct('s', x.start, 'e', x.start + x.n)))))"""
 
 
-def repeated_passages(docs: DataFrame, window: int = 32, anchors: int = 20, bands: int = 8, rows: int = 3, threshold: float = 0.8) -> DataFrame:
+def repeated_passages(docs: DataFrame, window: int = 32, anchors: int = 20, bands: int = 8, rows: int = 3, threshold: float = 0.8, least: int = 5) -> DataFrame:
     """One row for each document with a passage that repeats in another document.
 
     doc_id, repeated_words, removed_words, spans and removed_spans ('start:end' in words, comma-joined),
@@ -241,8 +241,8 @@ def repeated_passages(docs: DataFrame, window: int = 32, anchors: int = 20, band
     """
     prepare(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = texts.mapInArrow(_paragraphs(window, anchors), "h long, doc_id long, start long, n long")
-    similar = cut(line_clusters(texts, window, bands, rows, threshold))
+    parts = texts.mapInArrow(_paragraphs(window, anchors, least), "h long, doc_id long, start long, n long")
+    similar = cut(line_clusters(texts, least, bands, rows, threshold))
     nodes = parts.groupBy("h").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"))
     mapped = nodes.join(similar, "h", "left").where("first.doc_id <> last or cluster is not null")
     mapped = cut(mapped.withColumn("cluster", F.coalesce("cluster", "h")))

@@ -159,6 +159,16 @@ def test_op2_compares_all_lines_of_a_bucket(spark, block):
     assert len(want) > 100 and {frozenset(x) for x in clusters.values()} == want
 
 
+def test_op2_short_lines(spark):
+    rng = random.Random(13)
+    short, near = prose(rng, 5), prose(rng, 20)
+    rows = [(1, f"{prose(rng, 9)}\n{short}\n{near}", "en", "s", 0), (2, f"{short}\n{prose(rng, 9)}\n{near} end", "en", "s", 0), (3, prose(rng, 40), "en", "s", 0)]
+    got = {r.doc_id: r for r in substrings.repeated_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert set(got) == {1, 2}
+    assert (got[1].spans, got[1].removed_spans) == ("9:34", "")
+    assert (got[2].spans, got[2].removed_spans) == ("0:5,14:35", "0:5,14:35")
+
+
 def test_op3(spark, docs, nothing):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 50)] + [(None, 1, 0), (9999, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
     model = perplexity.fit(docs, labels)
