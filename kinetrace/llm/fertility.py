@@ -99,8 +99,11 @@ def duplicate_lines(data: bytes) -> int:
 
 
 def script(text: str) -> str:
-    """The script of most of the first letters: the first word of a letter's Unicode name."""
-    found = Counter(unicodedata.name(c, "none").split()[0] for c in text[:2000] if c.isalpha())
+    """The script of most letters of a text: the first word of a letter's Unicode name."""
+    found: Counter[str] = Counter()
+    for c, n in Counter(text).items():
+        if c.isalpha():
+            found[unicodedata.name(c, "none").split()[0]] += n
     return "script " + (found.most_common(1)[0][0] if found else "none")
 
 

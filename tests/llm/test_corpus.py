@@ -338,6 +338,11 @@ def test_op6(spark, docs, fixture, nothing):
     assert fertility.quality_rules(nothing, path).count() == 0
 
 
+def test_script_of_the_whole_text():
+    assert fertility.script("licence text " * 300 + "слово " * 2000) == "script CYRILLIC"
+    assert fertility.script("1 2 3") == fertility.script("") == "script none"
+
+
 def entropy_spans(text, base):
     import math
 
