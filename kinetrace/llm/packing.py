@@ -10,13 +10,16 @@ two of tokens, which needs no padding, and the rest goes back.
 Each input partition is packed by itself, in pools of bounded size, with no shuffle: a task's loss repeats
 from its input split alone. Texts are cut into pieces of `capacity` tokens first.
 
+Documents are texts, of which all tokens bear loss, or arrays of segments (text, loss), which are encoded one by one
+and of which the tokens of segments with loss bear it; the end id is as the last segment. A piece comes with its token
+ids (unsigned 32-bit, little-endian) and its loss mask (one byte a token, 0 or 1).
+
 Defined cases: null text is empty and gets its end id alone; repeated rows are packed as often as they occur;
 null doc_ids stay null; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -155,8 +158,11 @@ def pack_stream(examples: Iterator[tuple[object, np.ndarray, np.ndarray | None]]
     yield from pack_pool(pool, limits, True)
 
 
+FLUSH_TOKENS = 1 << 20
+
+
 def _packer(limits: tuple[int, int, int], make: Callable):
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset"]
+    kinds = {"doc_id": pa.int64(), "start": pa.int64(), "ids": pa.binary(), "loss_mask": pa.binary(), "doc_tokens": pa.int64(), "loss_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids = make()
@@ -164,38 +170,58 @@ def _packer(limits: tuple[int, int, int], make: Callable):
 
         def examples():
             for batch in batches:
-                for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                    yield doc.as_py(), to_ids(text.as_py()), None
+                for doc, content in zip(batch.column("doc_id"), batch.column("content"), strict=True):
+                    yield doc.as_py(), *to_ids(content.as_py())
 
-        rows = []
+        rows, held = [], 0
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
 
         for sequence in pack_stream(examples(), limits):
             at = 0
             for x in sequence:
                 n = x.hi - x.lo
-                rows.append((x.doc, x.lo, n, zlib.crc32(np.ascontiguousarray(x.ids[x.lo : x.hi], "<u4").tobytes()), len(x.ids), x.needs[1], number, at))
+                mask = bytes([1]) * n if x.mask is None else x.mask[x.lo : x.hi].astype(np.uint8).tobytes()
+                rows.append((x.doc, x.lo, np.ascontiguousarray(x.ids[x.lo : x.hi], "<u4").tobytes(), mask, len(x.ids), x.needs[1], number, at))
                 at += n
             number += 1
-            if len(rows) >= 4096:
+            held += at
+            if len(rows) >= 4096 or held >= FLUSH_TOKENS:
                 yield flush()
                 rows.clear()
+                held = 0
         if rows:
             yield flush()
 
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 2, capacity: int = 4096, max_segments: int = 512, max_loss: int | None = None) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, loss_tokens, sequence_id, offset."""
+def encode_segments(encode: Callable, segments: list[dict] | None, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of segments (text, loss) with the end id, and the mask of those that bear loss."""
+    parts = [(encode(x["text"]), bool(x["loss"])) for x in segments or [] if x is not None]
+    parts.append((np.array([end_id], np.uint32), parts[-1][1] if parts else True))
+    return np.concatenate([ids for ids, _ in parts]), np.repeat([loss for _, loss in parts], [len(ids) for ids, _ in parts])
+
+
+def pack_documents(
+    docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 2, capacity: int = 4096, max_segments: int = 512, max_loss: int | None = None, segments: str | None = None
+) -> DataFrame:
+    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, loss_tokens, sequence_id, offset, ids, loss_mask.
+
+    `segments` names a column array<struct<text string, loss boolean>> to be packed in place of text.
+    """
     prepare(docs.sparkSession)
 
     def make():
         encode = encoder(tokenizer, kind).encode
-        return lambda text: np.append(encode(text), np.uint32(end_id))
+        if segments is not None:
+            return lambda x: encode_segments(encode, x, end_id)
+        return lambda text: (np.append(encode(text), np.uint32(end_id)), None)
 
     limits = (capacity, max_segments, capacity if max_loss is None else max_loss)
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_packer(limits, make), schema)
+    schema = "doc_id long, start long, ids binary, loss_mask binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
+    content = F.col("text") if segments is None else F.transform(segments, lambda x: F.struct(x["text"].alias("text"), x["loss"].alias("loss")))
+    pieces = docs.select(F.col("doc_id").cast("long"), content.alias("content")).mapInArrow(_packer(limits, make), schema)
+    length = F.expr("cast(octet_length(ids) div 4 as bigint)").alias("length")
+    return pieces.select("doc_id", "start", length, F.crc32("ids").alias("ids_crc32"), "doc_tokens", "loss_tokens", "sequence_id", "offset", "ids", "loss_mask")

@@ -415,6 +415,31 @@ def test_op8(spark, docs, fixture, nothing):
     assert packing.pack_documents(nothing, path).count() == 0
 
 
+def test_packing_returns_ids_and_masks(spark, docs, fixture):
+    path = public_path("word_bpe_49k.json")
+    e, rng = encoder(path, "word"), random.Random(14)
+    rows = [(i, [(prose(rng, rng.randrange(1, 60)), bool(rng.randrange(2))) for _ in range(rng.randrange(4))]) for i in range(80)] + [(80, None), (81, [(None, False)])]
+    df = spark.createDataFrame(rows, "doc_id long, turns array<struct<text string, loss boolean>>")
+    pieces = packing.pack_documents(df, path, capacity=256, max_loss=100, segments="turns").collect()
+    found, loss = {}, Counter()
+    for p in sorted(pieces, key=lambda p: (p.doc_id, p.start)):
+        ids, mask = found.setdefault(p.doc_id, ([], []))
+        ids += np.frombuffer(p.ids, "<u4").tolist()
+        mask += list(p.loss_mask)
+        assert (p.length, p.loss_tokens) == (len(p.loss_mask), sum(p.loss_mask))
+        loss[p.sequence_id] += p.loss_tokens
+    assert max(loss.values()) <= 100
+    for i, turns in rows:
+        ids, mask = [], []
+        for text, bears in turns or []:
+            part = e.encode(text).tolist()
+            ids += part
+            mask += [int(bears)] * len(part)
+        assert found[i] == ([*ids, 2], [*mask, int(turns[-1][1]) if turns else 1])
+    whole = packing.pack_documents(docs, path, capacity=256).where("doc_id = 5").orderBy("start").collect()
+    assert np.frombuffer(b"".join(p.ids for p in whole), "<u4").tolist() == [*e.encode(fixture[5][1]).tolist(), 2]
+
+
 def test_packing_keeps_every_limit():
     rng = np.random.default_rng(3)
     examples = [(i, np.arange(n, dtype=np.uint32), rng.random(n) < 0.4) for i, n in enumerate(rng.integers(1, 300, 400))]
