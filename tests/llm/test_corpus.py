@@ -350,9 +350,9 @@ def entropy_spans(text, base):
     for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text):
         if any(b[0] < m.end() and m.start() < b[2] for b in base) or any(re.search(p, m[0]) for p in secrets.ALLOWED):
             continue
-        kind = 3 if re.fullmatch("[0-9A-Fa-f]+", m[0]) else 4
+        kind = next(secrets.KINDS.index(k) for k, (cls, _) in secrets.CLASSES.items() if re.search(cls, m[0]))
         best = max(-sum(c / 20 * math.log2(c / 20) for c in Counter(m[0][i : i + 20]).values()) for i in range(len(m[0]) - 19))
-        if best >= secrets.BITS[secrets.KINDS[kind]] - 1e-6:
+        if best >= secrets.CLASSES[secrets.KINDS[kind]][1] - 1e-6:
             out.append((m.start(), kind, m.end()))
     return out
 
@@ -384,9 +384,38 @@ def test_op7(spark, nothing):
     red = {r.doc_id: r for r in secrets.redact_secrets(wide).collect()}
     assert secrets.redact_secrets(wide).columns == wide.columns and red[200].text is None
     assert all(not got[i].spans or "[SECRET]" in red[i].text for i, _ in rows)
+    for i, text in rows:
+        spans = sorted((int(x.split(":")[1]), int(x.split(":")[2])) for x in got[i].spans.split(",") if x)
+        out, at = "", 0
+        for s, e in spans:
+            if s >= at:
+                out += (text or "")[at:s] + "[SECRET]"
+            at = max(at, e)
+        assert red[i].text == (None if text is None else out + text[at:])
     assert secrets.scan_secrets(nothing).count() == 0
 
 
+def test_op7_long_texts(spark):
+    """A text of 1 MB with tens of thousands of matches takes a time in proportion to its length."""
+    import time
+
+    rng = random.Random(8)
+    one = "\U0001f642 token: abcdef12 " + "".join(rng.choices("0123456789abcdef", k=24)) + "\n"
+    n = 1_200_000 // len(one)
+    df = spark.createDataFrame([(1, one * n)], "doc_id long, text string")
+    began = time.monotonic()
+    r = secrets.scan_secrets(df).first()
+    took = time.monotonic() - began
+    assert (r.n_assign, r.n_hex) == (n, n)
+    at = one.index("token")
+    assert r.spans.split(",")[-2] == f"assign:{(n - 1) * len(one) + at}:{(n - 1) * len(one) + at + len('token: abcdef12')}"
+    assert took < 60
+    began = time.monotonic()
+    out = secrets.redact_secrets(df).first().text
+    assert out == one.replace("token: abcdef12", "[SECRET]").replace(one[one.index("12 ") + 3 : -1], "[SECRET]") * n
+    assert time.monotonic() - began < 60
+
+
 def check_packing(pieces, ids, capacity):
     by_doc, by_seq = {}, {}
     for p in pieces:
