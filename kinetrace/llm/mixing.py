@@ -1,17 +1,19 @@
 """Mixing sources to target weights by systematic sampling.
 
-A source's documents stand in the order of size (largest first), then of a hash of doc_id, then of doc_id,
-so that the sample meets each size in its share. Each has target / source size expected copies; their prefix
-sum plus one random offset is cut at the integers, and a document is taken once for each integer boundary
-that it crosses. The offset is seeded by the source's name; of DRAWS seeded draws the one whose total comes
-nearest to the target is used, which keeps sources with few documents near it.
+A source's documents stand in the order of size (largest first), then of a hash of doc_id, then of doc_id. Each has
+target / source size expected copies; their prefix sum plus one random offset, drawn by the source's name, is cut at the
+integers, and a document is taken once for each integer boundary that it crosses. Every document so has its expected
+copies over all offsets, and as the sizes fall along the order, a source's total misses its target by less than its
+largest document (by more only of rounding).
 
 The rank of a document in its source is a sum of three counts (of larger sizes, of smaller hashes within the
-size, within the hash), so that no task orders a whole source.
+size, within the hash), so that no task orders a whole source. Rows that share doc_id, source and size are one row with
+a count, and their copies are dealt out again at the end, so that a repeated or null doc_id is no hot key.
 
 Defined cases: null and empty texts have size 0, are sampled as the others and add no words; a null source is
-a source of its own, in last place; repeated rows are ranked one after the other; sources without a word
-have the target 0 and nothing taken; an empty table gives an empty result.
+a source of its own, in last place; null doc_ids are kept, before all others of their size and hash; repeated rows have
+successive ranks; equal sizes and hashes follow doc_id; sources without a word have the target 0 and nothing taken; an
+empty table gives an empty result; further columns are ignored by `mix` and kept by `mixed_documents`, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,16 +29,19 @@ from kinetrace.session import cut, prepare
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
-DRAWS = 32
 SLOTS = 4096
+PAGE = 65_536
+
+
+def _size() -> F.Column:
+    n = F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    return F.when(F.col("text").isNull(), 0).otherwise(n).cast("long")
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size in words, and the slot (hash) of doc_id."""
-    n = F.coalesce(F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
-    n = F.when(F.col("text").isNull(), 0).otherwise(n)
     slot = F.expr(f"pmod(pmod(coalesce(doc_id, 0), 1000003) * 7919, {SLOTS})")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n.cast("long").alias("size"), slot.cast("long").alias("slot"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _size().alias("size"), slot.cast("long").alias("slot"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
@@ -59,62 +64,68 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = L
     return s.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def _copies(offset) -> F.Column:
-    at = offset + F.col("rank") * F.col("per_doc")
-    return (F.floor(at) - F.floor(offset + (F.col("rank") - 1) * F.col("per_doc"))).cast("long")
+def offset():
+    """The random offset of a source: a multiple of 2**-16, so that sums with it are exact."""
+    digest = F.md5(F.concat(F.coalesce("source", F.lit("")), F.lit("#0")))
+    return F.conv(F.substring(digest, 1, 4), 16, 10).cast("double") / 65536
 
 
-def offset(k: int):
-    """The k-th seeded draw for a source: a multiple of 2**-16, so that sums with it are exact."""
-    digest = F.md5(F.concat(F.coalesce("source", F.lit("")), F.lit(f"#{k}")))
-    return F.conv(F.substring(digest, 1, 4), 16, 10).cast("double") / 65536
+def _same(x: str, y: str, *names: str) -> F.Column:
+    return reduce(lambda p, q: p & q, (F.col(f"{x}.{n}").eqNullSafe(F.col(f"{y}.{n}")) for n in names))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, draws: int = DRAWS) -> DataFrame:
-    """One row for each document: doc_id, source, size, source_size, target, copies, taken."""
+def planned(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
+    """One row for each (doc_id, source, size): its number n of rows, `before` (rows ahead in its source), source_size, target, per_doc."""
     prepare(docs.sparkSession)
-    rows = cut(sized(docs))
-    goals = targets(rows, weights, limit)
-    slots = rows.groupBy("source", "size", "slot").agg(F.count("*").alias("n"))
+    rows = cut(sized(docs).groupBy("doc_id", "source", "size", "slot").agg(F.count("*").alias("n")))
+    slots = rows.groupBy("source", "size", "slot").agg(F.sum("n").alias("n"))
     sizes = slots.groupBy("source", "size").agg(F.sum("n").alias("n"))
+    goals = targets(sizes.select("source", (F.col("size") * F.col("n")).alias("size")), weights, limit)
     ahead = Window.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("source", "size", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("larger"))
     within = Window.partitionBy("source", "size").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = slots.select("source", "size", "slot", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("smaller"))
-    local = F.row_number().over(Window.partitionBy("source", "size", "slot").orderBy(F.col("doc_id").asc_nulls_first()))
-    ranked = rows.withColumn("local", local)
+    inside = Window.partitionBy("source", "size", "slot").orderBy(F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rows.withColumn("local", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     r, a, b, g = ranked.alias("r"), slots.alias("a"), sizes.alias("b"), goals.alias("g")
+    joined = r.join(a, _same("r", "a", "source", "size", "slot")).join(b, _same("r", "b", "source", "size")).join(g, _same("r", "g", "source"))
+    per_doc = F.coalesce(F.col("target") / F.nullif(F.col("source_size").cast("double"), F.lit(0.0)), F.lit(0.0))
+    return joined.select("r.doc_id", "r.source", "r.size", "r.n", (F.col("larger") + F.col("smaller") + F.col("local")).alias("before"), "source_size", "target", per_doc.alias("per_doc"))
 
-    def same(x, y, *names):
-        return reduce(lambda p, q: p & q, (F.col(f"{x}.{n}").eqNullSafe(F.col(f"{y}.{n}")) for n in names))
 
-    joined = r.join(a, same("r", "a", "source", "size", "slot")).join(b, same("r", "b", "source", "size")).join(g, same("r", "g", "source"))
-    per_doc = F.coalesce(F.col("target") / F.nullif(F.col("source_size").cast("double"), F.lit(0.0)), F.lit(0.0))
-    ranked = cut(joined.select("r.doc_id", "r.source", "r.size", (F.col("larger") + F.col("smaller") + F.col("local")).alias("rank"), "source_size", "target", per_doc.alias("per_doc")))
-    totals = ranked.groupBy("source").agg(F.max("target").alias("t"), *(F.sum(_copies(offset(k)) * F.col("size")).alias(f"t{k}") for k in range(draws)))
-    nearest = F.array_min(F.array(*(F.struct(F.abs(F.col(f"t{k}") - F.col("t")).alias("miss"), offset(k).alias("offset")) for k in range(draws))))
-    chosen = totals.select("source", nearest["offset"].alias("offset"))
-    out = ranked.alias("r").join(chosen.alias("c"), same("r", "c", "source")).withColumn("copies", _copies(F.col("offset")))
-    return out.select("r.doc_id", "r.source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+def _crossed(first, last) -> F.Column:
+    """The integer boundaries between the prefix sums of the ranks `first` and `last`."""
+    return (F.floor(offset() + last * F.col("per_doc")) - F.floor(offset() + first * F.col("per_doc"))).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
+    """One row for each document: doc_id, source, size, source_size, target, copies, taken."""
+    plan = planned(docs, weights, limit)
+    # Rows alike are numbered in pages, so that no array grows with their number.
+    plan = plan.withColumn("lo", F.explode(F.expr(f"sequence(0L, n - 1, {PAGE}L)")))
+    plan = plan.withColumn("i", F.explode(F.expr(f"sequence(lo, least(n, lo + {PAGE}) - 1)")))
+    rank = F.col("before") + F.col("i")
+    plan = plan.withColumn("copies", _crossed(rank, rank + 1))
+    return plan.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents in their own columns, each as often as the mix takes it."""
-    plan = mix(docs, **options)
-    counts = plan.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("__high"), F.sum("copies").alias("__all"), F.count("*").alias("__rows"))
-    counts = counts.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__high", "__all", "__rows")
-    size = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).cast("long")
-    d = docs.withColumn("__n", size)
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size"))
-    joined = d.join(counts, on).where("__all > 0")
-    # Rows that share doc_id, source and size share their copies: the first ones get one more where it is uneven.
-    nth = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64("text")))
-    joined = joined.withColumn("__nth", nth).withColumn("__k", F.expr("__all div __rows + if(__nth <= pmod(__all, __rows), 1, 0)"))
-    return joined.where("__k > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__k").cast("int")))).select(*[f"`{c}`" for c in docs.columns])
-
-
-
-def mix_sql(draws: int = DRAWS) -> str:
+    """The documents in their own columns, each as often as the mix takes it.
+
+    Rows that share doc_id, source and size share their copies: the first ones, by a hash of the text, get one more where
+    these do not come out even.
+    """
+    before = F.col("before")
+    plan = planned(docs, **options).select("doc_id", "source", "size", "n", _crossed(before, before + F.col("n")).alias("total")).where("total > 0")
+    d = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", _size().alias("size"))
+    joined = d.alias("d").join(plan.alias("p"), _same("d", "p", "doc_id", "source", "size")).select("d.row", "p.*")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.xxhash64("row.text")))
+    joined = joined.withColumn("copies", F.expr("total div n") + F.when(nth <= F.expr("total % n"), 1).otherwise(0))
+    repeated = joined.where("copies > 0").select("row", F.explode(F.expr("array_repeat(0, cast(copies as int))")))
+    return repeated.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+def mix_sql() -> str:
     """The DuckDB SQL that gives doc_id, size, source_size, target and taken of `mix` with its defaults."""
     size = r"CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END"
     return rf"""
@@ -132,10 +143,7 @@ def mix_sql(draws: int = DRAWS) -> str:
     r AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, coalesce(t.target / nullif(CAST(t.source_size AS DOUBLE), 0), 0) AS per_doc,
                  row_number() OVER (PARTITION BY d.source ORDER BY d.size DESC, d.slot, d.doc_id NULLS FIRST) AS rank
           FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-    u AS (SELECT t.source, k, CAST('0x' || substr(md5(coalesce(t.source, '') || '#' || k), 1, 4) AS BIGINT) / 65536.0::DOUBLE AS off FROM t, range({draws}) x(k)),
-    m AS (SELECT u.source, u.k, u.off, abs(sum((floor(u.off + r.rank * r.per_doc) - floor(u.off + (r.rank - 1) * r.per_doc)) * r.size) - max(r.target)) AS miss
-          FROM u JOIN r ON u.source IS NOT DISTINCT FROM r.source GROUP BY u.source, u.k, u.off),
-    b AS (SELECT source, off FROM m QUALIFY row_number() OVER (PARTITION BY source ORDER BY miss, off) = 1)
+    o AS (SELECT source, CAST('0x' || substr(md5(coalesce(source, '') || '#0'), 1, 4) AS BIGINT) / 65536.0::DOUBLE AS off FROM t)
     SELECT r.doc_id, r.size, r.source_size, r.target,
-           CAST((floor(b.off + r.rank * r.per_doc) - floor(b.off + (r.rank - 1) * r.per_doc)) * r.size AS BIGINT) AS taken
-    FROM r JOIN b ON r.source IS NOT DISTINCT FROM b.source"""
+           CAST((floor(o.off + r.rank * r.per_doc) - floor(o.off + (r.rank - 1) * r.per_doc)) * r.size AS BIGINT) AS taken
+    FROM r JOIN o ON r.source IS NOT DISTINCT FROM o.source"""

@@ -529,13 +529,28 @@ def test_op10(spark, docs, fixture, nothing):
         taken[fixture[d][3]] += k
         target[fixture[d][3]] = t
     assert sum(target.values()) == pytest.approx(sum(sizes.values()))
-    most = max(len(words(t)) for _, t, *_ in fixture)
-    assert all(abs(taken[s] - target[s]) <= most for s in sizes)
+    for s in sizes:
+        assert abs(taken[s] - target[s]) <= max(len(words(x[1])) for x in fixture if x[3] == s)
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in mixing.mix(docs).collect())
     assert mixing.mix(nothing).count() == 0
 
 
+def test_op10_repeated_rows_null_ids_and_ties(spark):
+    """Rows alike share their copies; the sums over all offsets are the expected copies; clashing names are kept."""
+    rows = [(None, "a b c", "s", 1)] * 7 + [(1, "a b c", "s", 2)] * 3 + [(2, "x y z", "s", 3), (3, "x", "t", 4), (4, None, None, 5), (4, "", None, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").withColumns({c: F.col("n") for c in ("row", "total", "size", "copies", "__n", "__id")})
+    mixed = mixing.mix(df)
+    got = mixed.collect()
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 7
+    per = {r.source: r.target / r.source_size for r in got if r.source_size}
+    for r in got:
+        assert r.copies in (int(per.get(r.source, 0)), int(per.get(r.source, 0)) + 1) and r.taken == r.copies * r.size
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns and out.count() == sum(r.copies for r in got)
+    assert all(r["__n"] == r.n == r["row"] == r.total for r in out.collect())
+
+
 def test_targets_by_repeated_resharing(spark):
     sizes = {"a": 10, "b": 500, "c": 300, "d": 2, "e": 90, None: 40}
     df = spark.createDataFrame(list(sizes.items()), "source string, size long")
