@@ -64,15 +64,19 @@ class Encoder:
     """Encodes whole texts word by word: both vocabularies' patterns never join text across these cuts.
 
     kind "byte": a cut before each word and its one leading space; kind "word": a cut at every run of blanks,
-    which that vocabulary drops. Strings of special tokens in a text are ordinary text.
+    which that vocabulary drops. Strings of special tokens in a text become their ids, as in the library's defaults.
     """
 
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError(f"{path}: special tokens that take in what stands beside them are not supported")
+        self.special = {x: pack("<I", i) for x, i in special.items()}
+        self.at_special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or "(?!)")
         if hasattr(self.model, "_resize_cache"):
             self.model._resize_cache(0)  # the caches below see each word first; its own would only add locks
         self.kind = kind
@@ -93,23 +97,31 @@ class Encoder:
 
     def encode(self, text: str | None) -> np.ndarray:
         text = text or ""
+        if not any(x in text for x in self.special):
+            return np.frombuffer(self.ordinary(text), dtype="<u4")
+        parts, at = [], 0
+        for m in self.at_special.finditer(text):
+            parts += self.ordinary(text[at : m.start()]), self.special[m[0]]
+            at = m.end()
+        return np.frombuffer(b"".join([*parts, self.ordinary(text[at:])]), dtype="<u4")
+
+    def ordinary(self, text: str) -> bytes:
+        """The ids of a text without special tokens, as bytes."""
         plain = self.plain
         if self.kind == "word":
             pieces = self.pieces(text) if any(c in text for c in CONTROLS) else text.split()
-            data = b"".join(map(plain.__getitem__, pieces))
-        elif any(p in text for p in PAIRS) or any(c in text for c in RARE):
-            data = b"".join([plain[p] for p in self.pieces(text)])
-        else:
-            spaced, out = self.spaced.__getitem__, []
-            for n, line in enumerate(text.split("\n")):
-                if n:
-                    out.append(plain["\n"])
-                head, *rest = line.split(" ")
-                if head:
-                    out.append(plain[head])
-                out += map(spaced, rest)
-            data = b"".join(out)
-        return np.frombuffer(data, dtype="<u4")
+            return b"".join(map(plain.__getitem__, pieces))
+        if any(p in text for p in PAIRS) or any(c in text for c in RARE):
+            return b"".join([plain[p] for p in self.pieces(text)])
+        spaced, out = self.spaced.__getitem__, []
+        for n, line in enumerate(text.split("\n")):
+            if n:
+                out.append(plain["\n"])
+            head, *rest = line.split(" ")
+            if head:
+                out.append(plain[head])
+            out += map(spaced, rest)
+        return b"".join(out)
 
 
 def encoder(path: str, kind: str) -> Encoder:

@@ -63,10 +63,9 @@ def test_shingles_are_those_of_words(fixture):
 def test_encoding_is_the_librarys(fixture):
     from tokenizers import Tokenizer
 
-    odd = ["  two  spaces\n\n \tx", "don't we'll", "a b　c\x1cd", "<|endoftext|> ok", "İstanbul ΣΑΣ", "x" * 200, "end. ", " start", "***bold***"]
+    odd = ["  two  spaces\n\n \tx", "don't we'll", "a b　c\x1cd", "<|endoftext|> ok", "a<|endoftext|>b  <|endoftext|>\n\nc", "<|startoftext|><|endoftext|>", "<|endoftext|", "İstanbul ΣΑΣ", "x" * 200, "end. ", " start", "***bold***"]
     for name, kind in (("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")):
         t = Tokenizer.from_file(public_path(name))
-        t.encode_special_tokens = True
         e = encoder(public_path(name), kind)
         for text in [x[1] or "" for x in fixture] + odd:
             assert e.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
