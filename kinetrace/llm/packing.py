@@ -4,14 +4,16 @@ An open sequence has three remaining capacities: tokens, segments and loss-beari
 is the one, of those that fit, with the largest dot product of its needs and the remaining capacities,
 each as a share of its limit. Pieces of equal needs are one class, so that a choice compares classes and
 not pieces. Where no piece fits, the piece with the largest dot product is cut to fill the tokens exactly.
-A sequence that the segment or loss limit (or the end of the input) closes early is cut to a power of
-two of tokens, which needs no padding, and the rest goes back.
+A sequence that the segment or loss limit (or the end of the input) closes early is padded if it lacks no more than a
+hundredth; else it is cut to a power of two of tokens, which needs no padding, and the rest goes back.
 
 Each input partition is packed by itself, in pools of bounded size, with no shuffle: a task's loss repeats
 from its input split alone. Texts are cut into pieces of `capacity` tokens first.
 
 Documents are texts, of which all tokens bear loss, or arrays of segments (text, loss), which are encoded one by one
-and of which the tokens of segments with loss bear it; the end id is as the last segment. A piece comes with its token
+and of which the tokens of segments with loss bear it; the end id is as the last segment. `prompted` makes segments of plain
+texts: the first line, with its line end, is the prompt and bears no loss, the lines after it bear loss, and so does a text
+of one line. A piece comes with its token
 ids (unsigned 32-bit, little-endian) and its loss mask (one byte a token, 0 or 1).
 
 Defined cases: null text is empty and gets its end id alone; repeated rows are packed as often as they occur;
@@ -32,6 +34,11 @@ from kinetrace.llm.tokens import encoder
 from kinetrace.session import prepare
 
 POOL_TOKENS = 1 << 21
+TRIES = 16
+#: A sequence that lacks at most one PAD-th of the capacity is padded, not cut.
+PAD = 100
+#: Limits for instruction data: at most 16 pieces and 4,064 loss-bearing tokens in a sequence of 4,096.
+INSTRUCTION = {"capacity": 4096, "max_segments": 16, "max_loss": 4064}
 
 
 class Item:
@@ -82,36 +89,48 @@ class Pool:
             self.stale = False
         return self.needs
 
-    def best(self, tokens: int, segments: int, loss: int, limits: tuple[int, int, int]) -> tuple[tuple[int, int] | None, tuple[int, int] | None]:
-        """The class with the largest dot product that fits, and the one among all that could be cut."""
+    def best(self, tokens: int, segments: int, loss: int, limits: tuple[int, int, int]) -> tuple[tuple[int, int] | None, list[tuple[int, int]]]:
+        """The class with the largest dot product that fits, or else those of the largest that could be cut."""
         needs = self.classes()
         if not self.items:
-            return None, None
+            return None, []
         t, s, m = limits
         score = needs[:, 0] * (tokens / (t * t)) + needs[:, 1] * (loss / (m * m)) + segments / (s * s)
         fits = self.live & (needs[:, 0] <= tokens) & (needs[:, 1] <= loss)
-        alive = np.where(self.live, score, -1.0)
         fit = np.where(fits, score, -1.0)
-        i, j = int(fit.argmax()), int(alive.argmax())
-        return (self.keys[i] if fits[i] else None), (self.keys[j] if self.live[j] else None)
+        i = int(fit.argmax())
+        if fits[i]:
+            return self.keys[i], []
+        long = np.flatnonzero(self.live & (needs[:, 0] > min(tokens, loss)))
+        top = long[np.argpartition(-score[long], TRIES - 1)[:TRIES]] if len(long) > TRIES else long
+        return None, [self.keys[k] for k in top[np.argsort(-score[top], kind="stable")]]
+
+    def head(self, keys: list[tuple[int, int]], room: int, spare: int, slack: int) -> Item | None:
+        """The first `room` tokens of a piece of one of these classes, whose rest stays, if they keep the loss limit.
+
+        Where none does, the first `spare` tokens, if what stays free is no more than `slack`.
+        """
+        for n in (room, spare) if 0 < spare < room <= spare + slack else (room,):
+            for key in keys:
+                if key[0] > n:
+                    part, rest = self.items[key][-1].cut(n)
+                    if part.needs[1] <= spare:
+                        self.take(key)
+                        self.add(rest)
+                        return part
+        return None
 
 
 def pack_pool(pool: Pool, limits: tuple[int, int, int], last: bool) -> Iterator[list[Item]]:
     """Sequences from a pool; unless it is the last one, an unfinished sequence's pieces go back."""
     capacity, segments, loss = limits
+    slack = capacity // PAD
     while pool.items:
         bin_, room, spare = [], capacity, loss
         while room and len(bin_) < segments:
-            fit, any_ = pool.best(room, segments - len(bin_), spare, limits)
-            if fit is not None:
-                item = pool.take(fit)
-            elif any_ is not None and any_[0] > room and spare >= room:
-                item, rest = pool.take(any_).cut(room)
-                pool.add(rest)
-                if item.needs[1] > spare:
-                    pool.add(item)
-                    break
-            else:
+            fit, longer = pool.best(room, segments - len(bin_), spare, limits)
+            item = pool.take(fit) if fit is not None else pool.head(longer, room, spare, slack)
+            if item is None:
                 break
             bin_.append(item)
             room -= item.hi - item.lo
@@ -122,11 +141,11 @@ def pack_pool(pool: Pool, limits: tuple[int, int, int], last: bool) -> Iterator[
                 pool.add(item)
             return
         if not bin_:  # one piece alone breaks the loss limit: half of it at a time
-            item = pool.take(any_)
+            item = pool.take(next(iter(pool.items)))
             for part in item.cut((item.hi - item.lo) // 2):
                 pool.add(part)
             continue
-        if room and fill & (fill - 1):
+        if room > slack and fill & (fill - 1):
             goal, kept, size = 1 << (fill.bit_length() - 1), [], 0
             for item in bin_:
                 n = item.hi - item.lo
@@ -204,6 +223,14 @@ def encode_segments(encode: Callable, segments: list[dict] | None, end_id: int)
     return np.concatenate([ids for ids, _ in parts]), np.repeat([loss for _, loss in parts], [len(ids) for ids, _ in parts])
 
 
+def prompted(docs: DataFrame) -> DataFrame:
+    """doc_id and segments of plain texts: the first of several lines is a prompt without loss."""
+    first = "substring_index(text, '\n', 1)"
+    parts = f"array(named_struct('text', concat({first}, '\n'), 'loss', false), named_struct('text', substring(text, length({first}) + 2), 'loss', true))"
+    one = "array(named_struct('text', coalesce(text, ''), 'loss', true))"
+    return docs.select("doc_id", F.expr(f"if(instr(text, '\n') > 0, {parts}, {one})").alias("segments"))
+
+
 def pack_documents(
     docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 2, capacity: int = 4096, max_segments: int = 512, max_loss: int | None = None, segments: str | None = None
 ) -> DataFrame:

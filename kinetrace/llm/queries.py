@@ -49,7 +49,8 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_read(spark, sf_dir, "documents"), public_path("word_bpe_49k.json")).drop("ids", "loss_mask")
+    texts = packing.prompted(_read(spark, sf_dir, "documents"))
+    return packing.pack_documents(texts, public_path("word_bpe_49k.json"), segments="segments", **packing.INSTRUCTION).drop("ids", "loss_mask")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

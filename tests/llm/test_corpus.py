@@ -9,7 +9,7 @@ from itertools import pairwise
 
 import numpy as np
 import pytest
-from kinetrace.llm import chat, digest, fertility, mixing, neardup, packing, perplexity, planes, secrets, substrings
+from kinetrace.llm import chat, digest, fertility, mixing, neardup, packing, perplexity, planes, queries, secrets, substrings
 from kinetrace.llm.text import shingles, words
 from kinetrace.llm.tokens import encoder, public_path
 from pyspark.sql import functions as F
@@ -479,6 +479,43 @@ def test_packing_keeps_every_limit():
     assert max(seen.values()) == 1 and len(seen) == sum(len(x[1]) for x in examples)
 
 
+def test_packing_limits_bind():
+    """Each of the three limits alone closes sequences, and little is padded."""
+    def sequences(examples, limits):
+        out = list(packing.pack_stream(iter(examples), limits, pool_tokens=50_000))
+        return out, [(sum(x.hi - x.lo for x in s), len(s), sum(x.needs[1] for x in s)) for s in out]
+
+    tiny = [(i, np.zeros(4, np.uint32), None) for i in range(2000)]
+    assert all(n == 64 and k == 16 for n, k, _ in sequences(tiny, (1024, 16, 1024))[1])
+    half = [(i, np.zeros(100, np.uint32), np.arange(100) >= 30) for i in range(2000)]
+    at_loss = sequences(half, (1024, 99, 520))[1]
+    assert max(x[2] for x in at_loss) <= 520 and sum(x[2] > 515 or x[0] == 512 for x in at_loss) > 0.9 * len(at_loss)
+    long = [(i, np.zeros(3000, np.uint32), None) for i in range(50)]
+    assert sum(x[0] >= 1014 for x in sequences(long, (1024, 16, 1014))[1]) > 130
+    for examples, limits in ((tiny, (1024, 16, 1024)), (half, (1024, 99, 520)), (long, (1024, 16, 1014))):
+        for n, k, loss in sequences(examples, limits)[1]:
+            assert n <= limits[0] and k <= limits[1] and loss <= limits[2] and (n & (n - 1) == 0 or n >= limits[0] - limits[0] // 100)
+
+
+def test_op8_query(spark, sf):
+    """Over the registered query: pieces tile the texts, the ids are the library's, and every limit is met somewhere."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_path("word_bpe_49k.json"))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ids = {i: np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for i, t in texts.items()}
+    pieces = queries.op8_vector_packing(spark, sf).collect()
+    assert {p.doc_id for p in pieces} == set(ids)
+    padding = check_packing(pieces, ids, 4096)
+    by_sequence = {}
+    for p in pieces:
+        by_sequence.setdefault(p.sequence_id, []).append(p)
+    loss = [sum(p.loss_tokens for p in x) for x in by_sequence.values()]
+    assert max(loss) <= 4064 and max(map(len, by_sequence.values())) <= 16
+    assert any(x > 4056 for x in loss) and padding < 0.01 * sum(map(len, ids.values()))
+    assert sum(loss) < sum(map(len, ids.values()))
+
+
 @pytest.mark.parametrize("block", [1000, 7])
 def test_op9(spark, docs, fixture, nothing, block):
     got = {r.doc_id: r for r in neardup.near_duplicates(docs, block_docs=block).collect()}
