@@ -21,7 +21,7 @@ def op1_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.repeated_passages(_read(spark, sf_dir, "documents"))
+    return substrings.repeated_passages(_read(spark, sf_dir, "documents"), report=32)
 
 
 def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,9 @@ instance with the smallest (doc_id, start) stays and the others are removals.
 
 Defined cases: null text counts as empty; documents without a long enough paragraph have no row; null
 doc_ids are taken as one document; rows that repeat a doc_id are taken as one document; a paragraph that
-repeats only inside one document is no repeat across documents; an empty table gives an empty result.
+repeats only inside one document is no repeat across documents; very long texts are read in overlapping blocks; of
+instances alike the one with the smallest (doc_id, start) stays; an empty table gives an empty result; further columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -233,9 +235,11 @@ def _merged(parts: str) -> str:
             concat(acc, array(named_struct('s', x.start, 'e', x.start + x.n)))))"""
 
 
-def repeated_passages(docs: DataFrame, window: int = 32, anchors: int = 20, bands: int = 8, rows: int = 3, threshold: float = 0.8, least: int = 5) -> DataFrame:
-    """One row for each document with a passage that repeats in another document.
+def repeated_passages(docs: DataFrame, window: int = 32, anchors: int = 20, bands: int = 8, rows: int = 3, threshold: float = 0.8, least: int = 5, report: int = 1) -> DataFrame:
+    """One row for each document with a passage of `report` words or more that repeats in another document.
 
+    The passage is a merged span: lines and windows that touch are one. Documents that share no more than a licence line
+    or another short line are left alone by a `report` above its length; in the others such lines are still in the spans.
     doc_id, repeated_words, removed_words, spans and removed_spans ('start:end' in words, comma-joined),
     keep_ids (the documents that keep its passages) and n_clusters.
     """
@@ -259,6 +263,7 @@ def repeated_passages(docs: DataFrame, window: int = 32, anchors: int = 20, band
     out = per_doc.withColumn("s", F.expr(_merged("all_parts"))).withColumn("r", F.expr(_merged("cut_parts")))
     total = "aggregate({0}, 0L, (a, x) -> a + x.e - x.s)"
     shown = "array_join(transform({0}, x -> concat(x.s, ':', x.e)), ',')"
+    out = out.where(F.expr(f"array_max(transform(s, x -> x.e - x.s)) >= {report}"))
     return out.select(
         F.expr(f"nullif(doc_id, {NO_ID + 1} - 1)").alias("doc_id"),
         F.expr(total.format("s")).alias("repeated_words"),
@@ -290,6 +295,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_passages(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, text) of every document, without the passages that an earlier document keeps."""
-    spans = repeated_passages(docs, **options).select(F.col("doc_id").alias("__id"), "removed_spans")
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    return joined.select(F.col("doc_id").cast("long"), "text", "removed_spans").mapInArrow(_without, "doc_id long, text string")
+    spans = repeated_passages(docs, **options).select("doc_id", "removed_spans").alias("s")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").alias("t")
+    joined = texts.join(spans, F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")), "left")
+    return joined.select("t.doc_id", "text", "removed_spans").mapInArrow(_without, "doc_id long, text string")
