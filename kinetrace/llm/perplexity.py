@@ -9,9 +9,11 @@ nothing before them.
 
 Half of the trusted documents, by hash, are for training, all of them, and the other half sets the thresholds, so
 that a document the model has not seen is held to the same measure.
-Scoring reads the model in shards of about `max_grams` n-grams, one after the other: all n-grams and weights that a
-character needs go by the two characters before it, so each shard adds up its own characters of a text, and the sums of
-the shards make the text's perplexity. N-grams of one or two characters are in every shard. A larger model costs more
+Scoring joins the distinct words of each batch of documents with the n-gram table, shard by shard. A shard holds about
+`max_grams` n-grams as sorted arrays of 64-bit hashes, probabilities and weights, which the executors make, so that the
+driver passes on numbers of a known size and never the n-grams. All that a character needs goes by the two characters
+before it, so each shard adds up its own characters of a text, and the sums of the shards make the text's perplexity.
+N-grams of one or two characters are in every shard. A larger model costs more
 passes over the documents, never n-grams. All documents are scored on all their words, and the threshold of a language is
 a quantile of the perplexities of all held-out trusted documents in it, times a margin. A language has its own model
 and its own threshold if it has enough trusted documents with a word in either half; all others use the model of all
@@ -19,30 +21,34 @@ languages together, and its threshold, the quantile of all held-out trusted docu
 
 Defined cases: null and empty texts have no perplexity and are rejected; a null language is scored with the
 model of all languages; a document with several labels is trusted if all say so; labels without a document
-and null doc_ids in labels are ignored; repeated rows are scored alike; without any trusted document
-all documents with a word are kept; an empty table gives an empty result.
+and null doc_ids in labels are ignored; documents with a null doc_id are scored and not trusted; repeated rows are scored
+alike, also where they share a doc_id; very long texts are read in blocks; equal perplexities are judged alike; without any
+trusted document all documents with a word are kept; an empty table gives an empty result; further columns are ignored by
+`scored` and kept by `keep_good`, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from itertools import islice
 from uuid import uuid4
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetrace.llm.text import WORD
+from kinetrace.llm.text import WORD, U, mix, utf8, word_blocks
 from kinetrace.session import cut, prepare
 
 ORDER = 5
 HEAD, TAIL = "\x02", "\x03"
 ALL = "\x00all"
-MAX_GRAMS, MAX_IDS, LEAST_TRUSTED = 1_500_000, 2_000_000, 20
+MAX_GRAMS, MAX_IDS, LEAST_TRUSTED = 4_000_000, 2_000_000, 20
 QUANTILE, MARGIN = 0.995, 1.05
-CACHE = 200_000
+CACHE, BATCH_CHARS = 300_000, 4_000_000
+_STEP = U(0xD6E8FEB86659FD93)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -104,55 +110,120 @@ def train(words: DataFrame, order: int = ORDER) -> DataFrame:
     return both.groupBy("lang", "gram").agg(F.max("p").alias("p"), F.coalesce(F.max("backoff"), F.lit(1.0)).alias("backoff"))
 
 
+def _salt(lang: str) -> np.uint64:
+    return mix(np.array([crc32(utf8(lang))], U))[0]
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U) + U(1)
+
+
+def _ending(codes: np.ndarray, most: int) -> list[np.ndarray]:
+    """For k = 1 to `most`: a hash of the k characters that end at each position; the first k - 1 ones have none."""
+    out, power = [codes], _STEP
+    for k in range(1, most):
+        h = out[-1].copy()
+        h[k:] += codes[:-k] * power
+        out.append(h)
+        power = power * _STEP
+    return out
+
+
+def gram_keys(langs: list[str], grams: list[str]) -> np.ndarray:
+    """64-bit hashes of n-grams of up to ORDER characters; two differ with a chance of about 2**-64 to collide."""
+    size = np.array([len(g) for g in grams], np.int64)
+    ends = np.cumsum(size)
+    salts = {x: _salt(x) for x in set(langs)}
+    h = np.zeros(len(grams), U)
+    if len(grams) and ends[-1]:
+        by_size = _ending(_codes("".join(grams)), ORDER)
+        for k in range(1, ORDER + 1):
+            mine = size == k
+            h[mine] = by_size[k - 1][ends[mine] - 1]
+    return mix(h * _STEP + np.array([salts[x] for x in langs], U) + size.astype(U))
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = gram_keys(batch.column("lang").to_pylist(), batch.column("gram").to_pylist())
+        logs = [pa.array(np.log2(np.maximum(batch.column(c).to_numpy(zero_copy_only=False).astype(float), 1e-12))) for c in ("p", "backoff")]
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *logs], ["key", "p", "backoff"])
+
+
 class Scorer:
-    """log2 probabilities of words under one language's model, or under one shard of it, remembered in a bounded cache."""
-
-    def __init__(self, p: dict[str, float], backoff: dict[str, float], shards: int = 1, shard: int = 0):
-        self.p, self.backoff = p, backoff
-        self.shards, self.shard = shards, shard
-        self.known: dict[str, tuple[float, int]] = {}
-
-    def holds(self, context: str) -> bool:
-        """Whether this shard has what the characters after a context need."""
-        return crc32(context[-2:].encode("utf-8", "surrogatepass")) % self.shards == self.shard
-
-    def log2(self, context: str, ch: str) -> float:
-        weight = 0.0
-        while True:
-            got = self.p.get(context + ch)
-            if got is not None:
-                return weight + got
-            if not context:
-                return weight + self.p[""]
-            weight += self.backoff.get(context, 0.0)
-            context = context[1:]
-
-    def word(self, word: str) -> tuple[float, int]:
-        got = self.known.get(word)
-        if got is None:
-            w = HEAD + word + TAIL
-            one = self.shards == 1
-            ends = ((w[max(0, i - ORDER + 1) : i], w[i]) for i in range(1, len(w)))
-            got = sum(self.log2(c, ch) for c, ch in ends if one or self.holds(c)), len(w) - 1
-            if len(word) <= 40:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                self.known[word] = got
-        return got
-
-    def sums(self, words: list[str]) -> tuple[float, int]:
-        """The log2 probability of words, as far as this shard holds it, and their number of characters."""
-        known, get = self.known, self.word
-        total, n = 0.0, 0
-        for w in words:
-            a, b = known.get(w) or get(w)
-            total += a
-            n += b
-        return total, n
-
-    def perplexity(self, words: list[str]) -> float | None:
-        total, n = self.sums(words)
-        return 2 ** min(-total / n, 1000.0) if n else None
+    """log2 probabilities of words under one language's model, or under one shard of it, remembered in a bounded cache.
+
+    The model is sorted keys of n-grams with their log2 probabilities and weights as contexts, NaN where there is none.
+    """
+
+    def __init__(self, model: tuple[np.ndarray, np.ndarray, np.ndarray], lang: str, shards: int = 1, shard: int = 0):
+        self.keys, self.p, self.backoff = model
+        self.salt, self.shards, self.shard = _salt(lang), shards, shard
+        empty = self.find(np.zeros(1, U), 0, self.p)
+        self.known = not np.isnan(empty[0])
+        self.least = float(empty[0])
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[bytes, int] = _Index()
+        self.bits, self.size = np.zeros(0), np.zeros(0, np.int64)
+
+    def find(self, h: np.ndarray, size: int, values: np.ndarray) -> np.ndarray:
+        """The values of n-grams given by the hashes of `_ending`; NaN where there is none."""
+        if not len(self.keys):
+            return np.full(len(h), np.nan)
+        key = mix(h * _STEP + self.salt + U(size))
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, values[at], np.nan)
+
+    def held(self, codes: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Whether this shard has what the characters after these positions need: it goes by the last two before."""
+        pairs = (np.where(before[1], codes[before[0] - 1], U(0)) << U(32)) | codes[before[0]]
+        kinds, place = np.unique(pairs, return_inverse=True)
+        text = ["".join(chr(int(c) - 1) for c in (x >> 32, x & 0xFFFFFFFF) if c) for x in kinds.tolist()]
+        return np.array([crc32(utf8(t)) % self.shards == self.shard for t in text])[place]
+
+    def score(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(log2 probability as far as this shard holds it, number of characters with the end) of each word."""
+        padded = [HEAD + w.decode("utf-8", "surrogatepass") + TAIL for w in words]
+        size = np.array([len(w) for w in padded])
+        codes = _codes("".join(padded))
+        within = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
+        h = _ending(codes, ORDER)
+        bits, left = np.zeros(len(codes)), np.flatnonzero(within > 0)
+        if self.shards > 1:
+            left = left[self.held(codes, (left - 1, within[left] > 1))]
+        for k in range(ORDER - 1, -1, -1):  # the context's length; a shorter one only where the longer has no n-gram
+            here = within[left] >= k
+            at = left[here]
+            got = self.find(h[k][at], k + 1, self.p)
+            seen = ~np.isnan(got)
+            bits[at[seen]] += got[seen]
+            miss = at[~seen]
+            bits[miss] += np.nan_to_num(self.find(h[k - 1][miss - 1], k, self.backoff)) if k else self.least
+            left = np.concatenate((left[~here], miss))
+        first = np.cumsum(size) - size
+        return np.add.reduceat(bits, first), size - 1
+
+    def sums(self, texts: list[str | None]) -> tuple[list[float], list[int]]:
+        """The log2 probability and the number of characters of the words of each text."""
+        ids = [[np.fromiter(map(self.index.__getitem__, block.split()), np.int64) for _, block in word_blocks(t, 0)] for t in texts]
+        new = list(islice(self.index, len(self.bits), None))
+        for lo in range(0, len(new), 50_000):
+            bits, size = self.score(new[lo : lo + 50_000])
+            self.bits, self.size = np.append(self.bits, bits), np.append(self.size, size)
+        out = [sum(float(self.bits[x].sum()) for x in parts) for parts in ids], [sum(int(self.size[x].sum()) for x in parts) for parts in ids]
+        if len(self.index) > CACHE:
+            self.clear()
+        return out
+
+
+class _Index(dict):
+    """Numbers words in the order in which they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 _scorers: dict[int, dict[str, Scorer]] = {}
@@ -162,18 +233,36 @@ def _scoring(shared, key: int, shards: int, shard: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _scorers:
             _scorers.clear()
-            _scorers[key] = {lang: Scorer(*m, shards, shard) for lang, m in shared.value.items()}
+            _scorers[key] = {}
         models = _scorers[key]
+
+        def scorer(lang):
+            if lang not in models:
+                found = Scorer(shared.value, lang, shards, shard)
+                models[lang] = found if found.known else None
+            return models[lang]
+
         for batch in batches:
-            out = []
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                model = models.get(lang) or models.get(ALL)
-                # bytes.split() cuts at the six ASCII blanks only
-                words = [w.decode("utf-8", "surrogatepass") for w in (text or "").encode("utf-8", "surrogatepass").split()]
-                out.append(model.sums(words) if model else (0.0, len(words)))
+            langs, texts = batch.column("lang").to_pylist(), batch.column("text")
+            bits, n = np.zeros(len(langs)), np.zeros(len(langs), np.int64)
+            groups: dict[str, list[int]] = {}
+            for i, lang in enumerate(langs):
+                groups.setdefault(ALL if lang is None or scorer(lang) is None else lang, []).append(i)
+            for lang, rows in groups.items():
+                while rows:
+                    size, take = 0, 0
+                    while take < len(rows) and size < BATCH_CHARS:
+                        size += len(texts[rows[take]].as_py() or "")
+                        take += 1
+                    part, rows = rows[:take], rows[take:]
+                    found = [texts[i].as_py() for i in part]
+                    model = scorer(lang)
+                    if model:
+                        bits[part], n[part] = model.sums(found)
+                    else:
+                        n[part] = [sum(len(b.split()) for _, b in word_blocks(t, 0)) for t in found]
             keep = [c for c in batch.schema.names if c != "text"]
-            sums = [pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *sums], [*keep, "bits", "n"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(bits), pa.array(n)], [*keep, "bits", "n"])
 
     return run
 
@@ -202,8 +291,8 @@ def train_on(docs: DataFrame, labels: DataFrame, own: list[str]) -> DataFrame:
     return cut(train(cut(words.where(F.col("lang").isin(ALL, *own)))))
 
 
-def load(model: DataFrame, shards: int = 1, shard: int = 0) -> dict[str, tuple[dict, dict]]:
-    """language -> (log2 p, log2 backoff) by n-gram, of one shard of a model."""
+def load(model: DataFrame, shards: int = 1, shard: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted keys, log2 p, log2 backoff) of one shard of a model: 24 bytes an n-gram."""
 
     def mine(last_two: str):
         return F.expr(f"pmod(crc32(cast({last_two} as binary)), {shards}) = {shard}")
@@ -211,19 +300,10 @@ def load(model: DataFrame, shards: int = 1, shard: int = 0) -> dict[str, tuple[d
     has_p = F.col("p").isNotNull() & ((F.length("gram") <= 2) | mine("substring(gram, length(gram) - 2, 2)"))
     has_backoff = (F.col("backoff") < 1) & ((F.length("gram") <= 1) | mine("substring(gram, length(gram) - 1, 2)"))
     rows = model.select("lang", "gram", F.when(has_p, F.col("p")).alias("p"), F.when(has_backoff, F.col("backoff")).alias("backoff")).where("p is not null or backoff is not null")
-    out: dict[str, tuple[dict, dict]] = {}
-    for lang, gram, p, backoff in zip(*(c.to_pylist() for c in rows.toArrow().columns), strict=True):
-        ps, bs = out.setdefault(lang, ({}, {}))
-        if p is not None:
-            ps[gram] = math.log2(max(p, 1e-12))
-        if backoff is not None:
-            bs[gram] = math.log2(max(backoff, 1e-12))
-    return {k: v for k, v in out.items() if "" in v[0]}
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[dict, dict]]:
-    """language -> (log2 p, log2 backoff) by n-gram: the whole model at once, for small corpora."""
-    return load(train_on(docs, labels, own_languages(docs, labels)))
+    found = rows.mapInArrow(_hashed, "key long, p double, backoff double").toArrow()
+    keys, *values = (c.to_numpy() for c in found.columns)
+    order = np.argsort(keys.view(U))
+    return keys.view(U)[order], *(v[order] for v in values)
 
 
 def perplexities(rows: DataFrame, model: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
@@ -264,13 +344,14 @@ def scored(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margi
         held = trusted_texts(docs.where(held_out()), labels).select("doc_id", F.lit(ALL).alias("lang"), uid, "text")
         overall = perplexities(held, model, max_grams).agg(q).first()["q"]
     limit = F.coalesce("q", F.lit(overall).cast("double"), F.lit(float("inf"))) * margin
-    out = scores.join(by_lang, "lang", "left").withColumn("threshold", limit)
+    out = scores.join(F.broadcast(by_lang), "lang", "left").withColumn("threshold", limit)  # one row a language
     return out.select("doc_id", "lang", "perplexity", "threshold", "trusted", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"), "uid")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents, in their own columns, that the classifier keeps."""
-    verdict = scored(docs, labels, **options).where("kept").select(F.col("doc_id").alias("__id"), F.col("uid").alias("__key"), F.col("lang").alias("__lang")).distinct()
-    d = docs.withColumn("__uid", F.xxhash64(F.coalesce("text", F.lit(""))))
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__uid") == F.col("__key")) & F.col("lang").eqNullSafe(F.col("__lang"))
-    return d.join(verdict, on, "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    verdict = scored(docs, labels, **options).where("kept").select("doc_id", "uid", "lang").distinct().alias("v")
+    uid = F.xxhash64(F.coalesce("text", F.lit(""))).alias("uid")
+    d = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), uid, "lang").alias("d")
+    on = F.col("d.doc_id").eqNullSafe(F.col("v.doc_id")) & (F.col("d.uid") == F.col("v.uid")) & F.col("d.lang").eqNullSafe(F.col("v.lang"))
+    return d.join(verdict, on, "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small fixtures, and their defined cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -168,19 +169,87 @@ def test_op2_short_lines(spark):
     assert (got[2].spans, got[2].removed_spans) == ("0:5,14:35", "0:5,14:35")
 
 
+class ByHand:
+    """The probabilities of a trained table, looked up one character at a time."""
+
+    def __init__(self, model, lang):
+        rows = model.where(F.col("lang") == lang).collect()
+        self.p, self.backoff = {r.gram: r.p for r in rows if r.p is not None}, {r.gram: r.backoff for r in rows}
+
+    def probability(self, context, ch):
+        if context + ch in self.p:
+            return self.p[context + ch]
+        return self.backoff.get(context, 1.0) * self.probability(context[1:], ch) if context else self.p[""]
+
+    def perplexity(self, found):
+        bits = n = 0
+        for w in found:
+            w = "\x02" + w + "\x03"
+            for i in range(1, len(w)):
+                bits -= math.log2(self.probability(w[max(0, i - 4) : i], w[i]))
+                n += 1
+        return 2 ** (bits / n) if n else None
+
+
+def test_op3_perplexity_threshold_and_verdict_by_hand(spark):
+    """Every column of the result, from labels to verdict, computed again without the operator."""
+    rng = random.Random(33)
+    rows = []
+    for i in range(400):
+        lang = ("en", "de", None, "xx")[(i % 7 > 3) + (i % 11 == 3) + (i % 50 == 7)]
+        text = prose(rng, rng.randrange(1, 60), 80 if lang == "en" else 50)
+        rows.append((i, text if i % 9 else "".join(rng.choices("qwzxkj ÿ\U0001f642", k=80)), lang, "s", 0))
+    rows += [(400, None, "en", "s", 0), (401, "", None, "s", 0), (402, " \n", "de", "s", 0), (None, "some words", "en", "s", 0), (5, rows[5][1], rows[5][2], "s", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    given = [(i, int(i % 9 > 0), int(i % 13 == 0)) for i in range(0, 330)] + [(8, 0, 0), (None, 1, 0), (999, 1, 0)]
+    labels = spark.createDataFrame(given, "doc_id long, quality int, toxic int")
+    bad = {i for i, q, t in given if q != 1 or t}
+    trusted = {i for i, *_ in given if i is not None} - bad
+    held = {r.doc_id for r in df.where(perplexity.held_out()).collect()}
+    own = [x for x in ("de", "en", "xx") if min(sum(r[2] == x and r[0] in trusted and bool((r[1] or "").split()) and (r[0] in held) == h for r in rows) for h in (True, False)) >= 20]
+    model = perplexity.train_on(df, labels, own)
+    by_hand = {x: ByHand(model, x) for x in (perplexity.ALL, *own)}
+    score = {i: {x: by_hand[x].perplexity([w.decode() for w in words(r[1])]) for x in by_hand} for i, r in enumerate(rows)}
+    mine = {i: r[2] if r[2] in own else perplexity.ALL for i, r in enumerate(rows)}
+
+    def quantile(x):
+        found = sorted(score[i][x] for i, r in enumerate(rows) if r[0] in trusted & held and score[i][x] and (x == perplexity.ALL or r[2] == x))
+        return found[math.ceil(perplexity.QUANTILE * len(found)) - 1] * perplexity.MARGIN
+
+    want = []
+    for i, r in enumerate(rows):
+        got, limit = score[i][mine[i]], quantile(mine[i])
+        want.append((r[0], r[2], got and pytest.approx(got), pytest.approx(limit), r[0] in trusted, bool(got and got <= limit * (1 + 1e-9))))
+    assert 0 < sum(x[5] for x in want) < 380 and len(own) == 2
+    found = perplexity.scored(df.withColumn("perplexity", F.lit(1)), labels).select("doc_id", "lang", "perplexity", "threshold", "trusted", "kept").collect()
+    key = lambda r: (r[0] is None, r[0] or 0, str(r[1]))
+    for a, b in zip(sorted(map(tuple, found), key=key), sorted(want, key=key), strict=True):
+        assert a == b
+    wide = df.withColumns({x: F.lit(x) for x in ("__id", "__uid", "__key", "uid", "row", "kept")})
+    kept = perplexity.keep_good(wide, labels)
+    assert kept.columns == wide.columns and sorted(r.doc_id or -1 for r in kept.collect()) == sorted(x[0] or -1 for x in want if x[5])
+
+
+def test_op3_long_texts_in_blocks(spark):
+    """A text beyond a block has the perplexity of its words."""
+    from kinetrace.llm import text
+
+    one = "lorem ipsum dolor sit amet " * 10
+    long = one * (text.BLOCK_CHARS // len(one) + 40)
+    df = spark.createDataFrame([(i, one, "en", "s", 0) for i in range(60)] + [(99, long, "en", "s", 0)], DOCS)
+    got = {r.doc_id: r for r in perplexity.scored(df, spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")).collect()}
+    assert got[99].perplexity == pytest.approx(got[1].perplexity) and got[99].kept
+
+
 def test_op3(spark, docs, nothing):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 50)] + [(None, 1, 0), (9999, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
-    model = perplexity.fit(docs, labels)
-    s = perplexity.Scorer(*model[perplexity.ALL])
-    symbols = [g for g in s.p if len(g) == 1] + ["unseen"]
+    model = ByHand(perplexity.train_on(docs, labels, perplexity.own_languages(docs, labels)), perplexity.ALL)
+    symbols = [g for g in model.p if len(g) == 1] + ["unseen"]
     for context in ("", "\x02", "\x02a", "1", "zz"):
-        assert sum(2 ** s.log2(context, c[:1] if c != "unseen" else "一") for c in symbols) == pytest.approx(1)
+        assert sum(model.probability(context, c[:1] if c != "unseen" else "一") for c in symbols) == pytest.approx(1)
     got = {r.doc_id: r for r in perplexity.scored(docs, labels).collect()}
     assert got[91].perplexity is None and not got[91].kept and not got[3].trusted
     assert sum(r.kept for i, r in got.items() if i < 60) >= 57
-    # one distinct text's perplexity by hand
-    total = sum(s.word(w.decode())[0] for w in words("a1x b2x"))
-    assert s.perplexity(["a1x", "b2x"]) == pytest.approx(2 ** (-total / 8))
     assert perplexity.scored(nothing, labels).count() == 0
     assert perplexity.keep_good(docs, labels).columns == docs.columns
 
@@ -212,9 +281,9 @@ def test_op3_model_and_threshold_go_together(spark):
     df = spark.createDataFrame(rows, DOCS)
     labels = spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality int, toxic int")
     assert perplexity.own_languages(df, labels) == ["en"]
-    model = perplexity.fit(df, labels)
-    assert set(model) == {"en", perplexity.ALL}
-    scorers = {k: perplexity.Scorer(*v) for k, v in model.items()}
+    model = perplexity.train_on(df, labels, ["en"])
+    assert {r.lang for r in model.select("lang").distinct().collect()} == {"en", perplexity.ALL}
+    scorers = {k: ByHand(model, k) for k in ("en", perplexity.ALL)}
     got = perplexity.scored(df, labels).collect()
     assert len({r.threshold for r in got if r.lang != "en"}) == 1
     texts = {r[0]: [w.decode() for w in words(r[1])] for r in rows}
@@ -343,8 +412,6 @@ def test_script_of_the_whole_text():
 
 
 def entropy_spans(text, base):
-    import math
-
     out = []
     for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text):
         if any(b[0] < m.end() and m.start() < b[2] for b in base) or any(re.search(p, m[0]) for p in secrets.ALLOWED):
