@@ -615,8 +615,74 @@ def test_op9(spark, docs, fixture, nothing, block):
 
 
 def test_forest_depth():
-    assert neardup.forest_depth(0.8, 16, 5, 0.9995) == 4
+    assert neardup.forest_depth(0.8, 16, 6, 0.9995) == 4
     assert neardup.forest_depth(0.99, 16, 5, 0.9995) == 5
+    # enough measured pairs decide by themselves: the prefix is shortened until they share one
+    assert neardup.forest_depth(0.8, 16, 6, 0.99, {6: 990, 3: 10}) == 6
+    assert neardup.forest_depth(0.8, 16, 6, 0.999, {6: 990, 3: 10}) == 3
+    assert neardup.forest_depth(0.8, 16, 6, 0.9995, {6: 100}) == 4
+
+
+def near_pairs(rng, n, low, high):
+    """(text, text, index): pairs whose Jaccard index of 5-word shingles lies in [low, high)."""
+    out = []
+    while len(out) < n:
+        found = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(80, 240))]
+        other = list(found)
+        for _ in range(rng.randrange(1, 5)):
+            other[rng.randrange(len(other))] = f"x{rng.randrange(10**6)}"
+        a, b = sets(" ".join(found)), sets(" ".join(other))
+        index = len(a & b) / len(a | b)
+        if low <= index < high:
+            out.append((" ".join(found), " ".join(other), index))
+    return out
+
+
+def test_op9_measures_recall_and_keeps_links_at_the_border(spark):
+    """Of 600 planted pairs at 0.80 to 0.85 nearly all are found, and the sampled depths are those of the sequences."""
+    rng = random.Random(99)
+    pairs = near_pairs(rng, 600, 0.80, 0.85)
+    rows = [x for i, (a, b, _) in enumerate(pairs) for x in ((2 * i, a), (2 * i + 1, b))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
+    recall = sum(got[2 * i] == got[2 * i + 1] for i in range(600)) / 600
+    print("recall at 0.80 to 0.85:", recall)
+    assert recall >= 0.99
+    mult = neardup.multipliers(96, 9)
+    few = [shingles(a) for a, _, _ in pairs[:50]]
+    sample = neardup.Sample(list(range(50)), few, mult, 16, 0.8)
+    for i, (_, b, index) in enumerate(pairs[:50]):
+        h = shingles(b)
+        m = neardup.minhash(h, mult)
+        x, y = neardup.minhash(few[i], mult).reshape(16, 6), m.reshape(16, 6)
+        best = max(next((k for k in range(6) if x[t, k] != y[t, k]), 6) for t in range(16))
+        assert sample.depths(-1, h, m) == [best] and sample.depths(i, h, m) == []
+    assert sample.depths(-1, few[0], neardup.minhash(few[0], mult)) == []  # 0.9 and more does not measure
+
+
+def test_op9_large_groups_by_size_and_wide_blocks(spark, monkeypatch):
+    """A group beyond one block is dealt by size; wide blocks are counted in parts; both as brute force."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(400)]
+    texts = []
+    for _ in range(60):
+        own = list(base[: rng.randrange(150, 400)])
+        own[rng.randrange(len(own))] = f"x{rng.randrange(1000)}"
+        texts.append(" ".join(own))
+    found = [sets(t) for t in texts]
+    links = [sum(i != j and texts[i] != texts[j] and 9 * len(a & b) >= 4 * (len(a) + len(b)) for j, b in enumerate(found)) for i, a in enumerate(found)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(set(texts)) == 60
+    for block in (1000, 4):
+        got = {r.doc_id: r.n_links for r in neardup.near_duplicates(df, block_docs=block).collect()}
+        assert [got[i] for i in range(60)] == links
+    arrays = [shingles(t) for t in texts]
+    whole = [(i, j.tolist()) for i, j in neardup.linked_pairs(arrays, 0, 4, 5)]
+    split = [(i, j.tolist()) for i, j in neardup.linked_pairs(arrays, 20, 4, 5)]
+    monkeypatch.setattr(neardup, "MATRIX", 1)
+    assert whole == [(i, j.tolist()) for i, j in neardup.linked_pairs(arrays, 0, 4, 5)]
+    assert split == [(i, j.tolist()) for i, j in neardup.linked_pairs(arrays, 20, 4, 5)]
+    assert Counter(x for i, j in whole for x in [i] * len(j) + j) == Counter({i: n for i, n in enumerate(links) if n})
 
 
 def test_op10(spark, docs, fixture, nothing):
