@@ -11,8 +11,9 @@ normalised to 0 for what chance gives and 1 for all that is possible.
 All of this is local to about 100 bytes, so that long texts are digested in overlapping blocks.
 
 Defined cases: null text is empty; the empty text has the digest without features, which is like itself (1) and
-like nothing else (0); a text of fewer than 32 bytes is one feature; repeated rows follow one another in the
-order of documents; null doc_ids come last; an empty table gives an empty result.
+like nothing else (0); a text of fewer than 32 bytes is one feature; rows of one doc_id follow one another by a hash
+of their texts; null doc_ids come last; of equally rare windows of a run the first gets the vote; an empty table gives an
+empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetrace.llm.text import U, mix, utf8
-from kinetrace.session import cut, partitions, prepare
+from kinetrace.session import cut, prepare, ranges
 
 WIDTH, RUN, VOTES = 32, 32, 8
 BITS, PROBES, LOAD = 2048, 5, 160
@@ -248,13 +249,13 @@ def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document.
 
-    Texts are dealt once, by ranges of descending doc_id. Neighbours meet inside a task; the first and last
+    Texts are dealt once, by ranges of descending doc_id and a hash of the text. Neighbours meet inside a task; the first and last
     text of each task are matched afterwards.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    order = F.col("doc_id").desc_nulls_last()
-    dealt = texts.repartitionByRange(partitions(spark), order).sortWithinPartitions(order, "text")
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
+    dealt = texts.repartitionByRange(ranges(texts), *order).sortWithinPartitions(*order, "text")
     done = cut(dealt.mapInArrow(_sequence, SCHEMA))
     first = done.where("kind = 1").select("pid", F.col("text").alias("next_text"))
     ids = done.where("kind = 2").select("pid")

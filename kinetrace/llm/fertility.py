@@ -9,7 +9,8 @@ are rejected, as are those that fail the base rules: fewer than 20 words, or mor
 eight-word windows that the text repeats.
 
 Defined cases: null and empty texts have zero counts and fail the base rules; texts of white space alone too;
-repeated rows are judged alike; an empty table gives an empty result; further columns are ignored.
+null doc_ids keep their rows; repeated rows are judged alike, and values on a band's edge are inside; the words of very
+long texts are measured whole; an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ BLANKS = " \t\n\v\f\r"
 GRAM = 8
 CACHE = 150_000
 LEAST, SPREAD = 50, 3.0
+#: Band tables of up to so many rows (some 80 bytes each) go to all workers.
+MOST_GROUPS = 100_000
 #: Least distance between quartile and band: characters per token, byte share, entropy share.
 FLOORS = {"chars_per_token": 0.1, "byte_share": 0.05, "token_entropy": 0.08}
 MEASURES = tuple(FLOORS)
@@ -146,7 +149,9 @@ def quality_rules(docs: DataFrame, vocabulary: str, spread: float = SPREAD, leas
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(_measure(vocabulary), SCHEMA)
     rows = cut(rows.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words")))
-    by_group = bands(rows, spread, least)
+    by_group = cut(bands(rows, spread, least))
+    if by_group.count() <= MOST_GROUPS:  # one row a language or script: a shuffle would deal documents to as many tasks
+        by_group = F.broadcast(by_group)
     every = bands(rows.withColumn("grp", F.lit("all")), spread, 1).first()
     joined = rows.join(by_group, "grp", "left")
     inside = F.lit(True)

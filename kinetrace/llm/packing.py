@@ -17,7 +17,8 @@ of one line. A piece comes with its token
 ids (unsigned 32-bit, little-endian) and its loss mask (one byte a token, 0 or 1).
 
 Defined cases: null text is empty and gets its end id alone; repeated rows are packed as often as they occur;
-null doc_ids stay null; an empty table gives an empty result; further columns are ignored.
+null doc_ids stay null; very long texts are cut into as many pieces as they need; pieces of equal needs are taken last in,
+first out; an empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

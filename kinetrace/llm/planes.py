@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetrace.llm.tokens import encoder
-from kinetrace.session import partitions, prepare
+from kinetrace.session import prepare, ranges
 
 MAGIC = b"BPS1"
 BLOCK = 65_536
@@ -144,12 +144,14 @@ def write_dataset(docs: DataFrame, to: str, tokenizer: str, kind: str = "byte",
     """Encode all texts and write them as bit-plane files in ascending order of doc_id.
 
     Null texts count as empty (the end id alone); null doc_ids come first; rows with one doc_id follow the
-    order of their texts. Shards are ranges of doc_id, and a document is never cut between files.
+    order of a hash of their texts, then of the texts. Shards are ranges of doc_id and that hash, about 32 MB of input
+    each, so that a doc_id with many rows is no one task; a document is never cut between files, however long. An empty
+    table gives a dataset without files; further columns are ignored, whatever their names.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
-    ranged = texts.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(*order)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ranged = texts.repartitionByRange(ranges(texts), *order).sortWithinPartitions(*order, "text")
     schema = "shard int, file_no int, n_ids long, first_doc long, last_doc long, content binary"
     ranged.mapInArrow(_writer(tokenizer, kind, end_id, bits, file_ids), schema).write.parquet(to, compression="none")
 
