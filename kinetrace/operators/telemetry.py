@@ -35,22 +35,17 @@ def metric_series(records: DataFrame, seconds: int) -> DataFrame:
 def control_limits(records: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """Per name: the last 50 values' median and MAD sigma, the EWMA centre of all values, and the warm flag.
 
-    Only the last 50 rows of a name go into its sample, by a rank that Spark limits in each task; the EWMA
-    is the closed form of its recurrence, with weights that vanish beyond the rows kept for it.
+    The EWMA is the closed form of its recurrence, a weighted sum over all rows by their rank from the newest; only the last
+    50 rows of a name are ever collected.
     """
     back = Window.partitionBy("name").orderBy(*[F.col(c).desc() for c in order])
-    r = records.withColumn("back", F.row_number().over(back)).where(F.col("back") <= 400)
-    total = records.groupBy("name").agg(F.count("*").alias("n"))
-    s = r.groupBy("name").agg(
-        F.array_sort(F.collect_list(F.when(F.col("back") <= WINDOW, F.col("value")))).alias("sample"),
-        F.array_sort(F.collect_list(F.struct("back", "value"))).alias("recent"),
-    )
+    r = records.withColumn("back", F.row_number().over(back)).withColumn("n", F.count("*").over(Window.partitionBy("name")))
+    weight = F.when(F.col("back") == F.col("n"), 1.0).otherwise(ALPHA) * F.pow(F.lit(1 - ALPHA), F.col("back") - 1)
+    s = r.groupBy("name").agg(F.array_sort(F.collect_list(F.when(F.col("back") <= WINDOW, F.col("value")))).alias("sample"), F.sum(F.col("value") * weight).alias("ewma"))
     median = "if(size({0}) % 2 = 1, element_at({0}, cast(size({0}) div 2 + 1 as int)), (element_at({0}, cast(size({0}) div 2 as int)) + element_at({0}, cast(size({0}) div 2 + 1 as int))) / 2)"
-    s = s.join(total, "name").withColumn("median", F.expr(median.format("sample")))
+    s = s.withColumn("median", F.expr(median.format("sample")))
     s = s.withColumn("off", F.expr("array_sort(transform(sample, x -> abs(x - median)))"))
     s = s.withColumn("mad", F.expr(f"if(size(sample) < 2, 0D, {median.format('off')})"))
-    weight = f"{ALPHA} * pow({1 - ALPHA}, x.back - 1)"
-    s = s.withColumn("ewma", F.expr(f"aggregate(recent, 0D, (a, x) -> a + x.value * if(x.back = n, pow({1 - ALPHA}, x.back - 1), {weight}))"))
     sigma = F.greatest(MAD_SCALE * F.col("mad"), RELATIVE_FLOOR * F.abs("median"), F.lit(ABSOLUTE_FLOOR))
     return s.select("name", F.size("sample").alias("observations"), "median", "mad", sigma.alias("sigma"), "ewma", (F.size("sample") >= WARM).alias("warm"))
 

@@ -388,7 +388,7 @@ def _words(names: list[str]) -> str:
 _ONE, _TWO = [v for v in tasks.VERBS if " " not in v], [v for v in tasks.VERBS if " " in v]
 _CORE = f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
 v AS (SELECT *, CASE WHEN list_contains({_words(_TWO)}, array_to_string(w[1:2], ' ')) THEN array_to_string(w[1:2], ' ') WHEN list_contains({_words(_ONE)}, w[1]) THEN w[1] ELSE '' END AS verb FROM w)
-SELECT doc_id, verb, md5(array_to_string(list_filter(w[CASE WHEN verb = '' THEN 1 WHEN contains(verb, ' ') THEN 3 ELSE 2 END:], lambda x: NOT list_contains({_words(tasks.STOPWORDS + tasks.COLOURS)}, x)), ' ')) AS core FROM v"""
+SELECT doc_id, verb, md5(array_to_string(list_filter(w[CASE WHEN verb = '' THEN 1 WHEN contains(verb, ' ') THEN 3 ELSE 2 END:], lambda x: NOT list_contains({_words(list(tasks.STOPWORDS + tasks.COLOURS))}, x)), ' ')) AS core FROM v"""
 
 
 @query(_CORE)
@@ -397,7 +397,7 @@ def task_core_extract(spark, sf_dir):
     return d.select("doc_id", "verb", F.md5(tasks.core(F.col("w"), F.col("verb"))).alias("core"))
 
 
-_PART_CORE = f"SELECT p_partkey, p_name, array_to_string(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda x: NOT list_contains({_words(tasks.STOPWORDS + tasks.COLOURS)}, x)), ' ') AS core FROM part"
+_PART_CORE = f"SELECT p_partkey, p_name, array_to_string(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda x: NOT list_contains({_words(list(tasks.STOPWORDS + tasks.COLOURS))}, x)), ' ') AS core FROM part"
 
 
 def _part_cores(spark, sf_dir):
