@@ -72,3 +72,32 @@ def distance(a: dict, b: dict) -> tuple[float, str] | None:
     parts["temporal"] = (abs(a["stall"] - b["stall"]) + abs(a["gap"] - b["gap"])) / 2
     total = sum(WEIGHTS[k] for k in parts)
     return sum(WEIGHTS[k] * v for k, v in parts.items()) / total, max(parts, key=lambda k: WEIGHTS[k] * parts[k])
+
+
+#: Fixed value: a sample window holds at most twice so many values.
+SAMPLE = 512
+
+
+def sampled(n: int, half: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """The positions, of n values in order, that a decimating window and its clock keep.
+
+    Whenever the window is over full every second value goes, and the older half of the clock; later values come at full
+    rate, so that after the first time the two are no longer of the same positions.
+    """
+    values = clock = np.zeros(0, np.int64)
+    at = 0
+    while at < n:
+        room = 2 * half + 1 - len(values)
+        new = np.arange(at, min(n, at + room))
+        values, clock = np.append(values, new), np.append(clock, new)
+        at += len(new)
+        if len(values) > 2 * half:
+            values = values[::2]
+        while len(clock) > 2 * half:
+            clock = clock[len(clock) - (len(clock) + 1) // 2 :]
+    return values, clock
+
+
+def evenly(n: int, most: int = 2 * SAMPLE) -> np.ndarray:
+    """At most `most` evenly spaced positions of n, the same for values and clock."""
+    return np.unique(np.linspace(0, n - 1, min(n, most)).round().astype(np.int64)) if n else np.zeros(0, np.int64)

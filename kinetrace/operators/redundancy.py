@@ -44,10 +44,11 @@ def fingerprints(frames: DataFrame, episode: str, order: list[str], dims: list[s
 
 
 def redundancy(prints: DataFrame, threshold: float = THRESHOLD, most: int = MOST) -> DataFrame:
-    """episode, representative, distance, reason, for each of the first `most` episodes by identifier.
+    """episode, representative, distance, reason and truncated, for each of the first `most` episodes in order of rank.
 
     In order of rank each episode joins the nearest representative within the threshold or becomes one. The
-    order decides, so one task compares; its input is bounded by `most`, which is the report's contract.
+    order decides, so one task compares; its input is bounded by `most`, which is the report's contract, and `truncated`
+    says on each row whether there were more episodes than that.
     """
 
     def lead(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -68,5 +69,15 @@ def redundancy(prints: DataFrame, threshold: float = THRESHOLD, most: int = MOST
                 out.append((row["id"], row["id"], 0.0, "representative"))
         return pd.DataFrame(out, columns=["episode", "representative", "distance", "reason"])
 
-    first = prints.orderBy("episode").limit(most)
-    return first.groupBy().applyInPandas(lead, "episode string, representative string, distance double, reason string")
+    rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv]), F.col("verdict")), F.lit(3))
+    first = prints.orderBy(rank, "stall_ratio", F.col("judged_dims").desc(), "episode").limit(most)
+    more = prints.limit(most + 1).agg((F.count("*") > most).alias("truncated")).withColumn("_", F.lit(1))
+    found = first.groupBy().applyInPandas(lead, "episode string, representative string, distance double, reason string")
+    return found.withColumn("_", F.lit(1)).join(F.broadcast(more), "_").drop("_")
+
+
+def redundancy_groups(report: DataFrame) -> DataFrame:
+    """(representative, members, n, farthest): the groups of more than one episode, largest first in a listing."""
+    near = report.where("representative is not null")
+    g = near.groupBy("representative").agg(F.array_sort(F.collect_list("episode")).alias("members"), F.count("*").alias("n"), F.max("distance").alias("farthest"))
+    return g.where("n > 1")

@@ -38,14 +38,9 @@ def query(sql: str | None = None):
     return put
 
 
-def shared(name: str, sql: str, tables: str) -> None:
-    """Register SQL that means the same in both engines."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return prepare(spark).sql(sql, **{t: _t(spark, sf_dir, t) for t in tables.split()})
-
-    QUERIES[name] = run
-    SQL[name] = sql.replace("{", "").replace("}", "")
+def oracle(name: str, sql: str) -> None:
+    """The DuckDB SQL of a query that is registered below."""
+    SQL[name] = sql
 
 
 # --- motion quality -----------------------------------------------------------------------------------
@@ -158,9 +153,8 @@ def metric_series_tumbling(spark, sf_dir):
     return w.select("name", F.unix_micros("w.start").alias("start_us"), "mean", "n")
 
 
-shared("window_records", "SELECT event_type, count(*) AS n FROM {events} WHERE ts >= (SELECT max(ts) - INTERVAL '1' DAY FROM {events}) GROUP BY event_type", "events")
-shared("json_label_projection", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k FROM {events}", "events")
-SQL["json_label_projection"] = "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events"
+oracle("window_records", "SELECT event_type, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) - INTERVAL '1' DAY FROM events) GROUP BY event_type")
+oracle("json_label_projection", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
 
 
 @query("SELECT event_type, arg_max(event_id, event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY event_type")
@@ -237,29 +231,28 @@ def contract_outcomes(spark, sf_dir):
 
 # --- catalog ------------------------------------------------------------------------------------------
 
-shared("state_counts", "SELECT s.st AS state, count(o.o_orderkey) AS n FROM (SELECT 'F' AS st UNION ALL SELECT 'O' UNION ALL SELECT 'P' UNION ALL SELECT 'X') s LEFT JOIN {orders} o ON o.o_orderstatus = s.st GROUP BY s.st", "orders")
-shared("length_zscore", "WITH l AS (SELECT l_orderkey, count(*) AS n FROM {lineitem} GROUP BY l_orderkey), s AS (SELECT avg(n) AS m, stddev_samp(n) AS sd FROM l) SELECT l_orderkey, n, round(CASE WHEN sd IS NULL OR sd = 0 THEN 0.0 ELSE (n - m) / sd END, 6) AS z FROM l CROSS JOIN s", "lineitem")
-shared("top_outliers", "WITH p AS (SELECT o_orderstatus, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS r FROM {orders}) SELECT o_orderstatus, o_orderkey, o_totalprice, r FROM p WHERE r <= 5", "orders")
+oracle("state_counts", "SELECT s.st AS state, count(o.o_orderkey) AS n FROM (SELECT 'F' AS st UNION ALL SELECT 'O' UNION ALL SELECT 'P' UNION ALL SELECT 'X') s LEFT JOIN orders o ON o.o_orderstatus = s.st GROUP BY s.st")
+oracle("length_zscore", "WITH l AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey), s AS (SELECT avg(n) AS m, stddev_samp(n) AS sd FROM l) SELECT l_orderkey, n, round(CASE WHEN sd IS NULL OR sd = 0 THEN 0.0 ELSE (n - m) / sd END, 6) AS z FROM l CROSS JOIN s")
+oracle("top_outliers", "WITH p AS (SELECT o_orderstatus, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS r FROM orders) SELECT o_orderstatus, o_orderkey, o_totalprice, r FROM p WHERE r <= 5")
 SQL["top_outliers"] = SQL["top_outliers"].replace(" r FROM p", " CAST(r AS INTEGER) AS r FROM p")
-shared("median_lengths", "SELECT o_orderstatus, median(o_totalprice) AS med, percentile_cont(0.5) WITHIN GROUP (ORDER BY o_totalprice) AS cont, count(DISTINCT o_custkey) AS customers, count(*) FILTER (WHERE o_totalprice > 100000) AS large FROM {orders} GROUP BY o_orderstatus", "orders")
-shared("episodes_page", "SELECT o_orderkey, o_orderdate, o_totalprice FROM {orders} WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC NULLS LAST, o_orderkey DESC LIMIT 50", "orders")
-shared("unscored_episodes", "SELECT o_orderkey FROM {orders} o WHERE NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey)", "orders lineitem")
-shared("scored_episodes", "SELECT o_orderkey FROM {orders} WHERE o_orderkey IN (SELECT l_orderkey FROM {lineitem} WHERE l_quantity > 45)", "orders lineitem")
-shared("job_report", "SELECT c.c_custkey, count(o.o_orderkey) AS n, count(*) FILTER (WHERE o.o_orderstatus = 'F') AS done, round(avg(o.o_totalprice), 4) AS mean_price, max(o.o_totalprice) AS top_price FROM {customer} c LEFT JOIN {orders} o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey", "customer orders")
-shared("content_hash_dedup", "SELECT sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS keep_id FROM {documents} GROUP BY sha256(text) HAVING count(*) > 1", "documents")
-QUERIES["content_hash_dedup"] = lambda spark, sf_dir: _t(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("keep_id")).where("n > 1")
-shared("entry_listing", "SELECT source, count(*) AS tasks, count(DISTINCT lang) AS langs, sum(n_chars) AS chars FROM {documents} GROUP BY source", "documents")
+oracle("median_lengths", "SELECT o_orderstatus, median(o_totalprice) AS med, percentile_cont(0.5) WITHIN GROUP (ORDER BY o_totalprice) AS cont, count(DISTINCT o_custkey) AS customers, count(*) FILTER (WHERE o_totalprice > 100000) AS large FROM orders GROUP BY o_orderstatus")
+oracle("episodes_page", "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC NULLS LAST, o_orderkey DESC LIMIT 50")
+oracle("unscored_episodes", "SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)")
+oracle("scored_episodes", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+oracle("job_report", "SELECT c.c_custkey, count(o.o_orderkey) AS n, count(*) FILTER (WHERE o.o_orderstatus = 'F') AS done, round(avg(o.o_totalprice), 4) AS mean_price, max(o.o_totalprice) AS top_price FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey")
+oracle("content_hash_dedup", "SELECT sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS keep_id FROM documents GROUP BY sha256(text) HAVING count(*) > 1")
+oracle("entry_listing", "SELECT source, count(*) AS tasks, count(DISTINCT lang) AS langs, sum(n_chars) AS chars FROM documents GROUP BY source")
 SQL["entry_listing"] = SQL["entry_listing"].replace("sum(n_chars)", "CAST(sum(n_chars) AS BIGINT)")
-shared("vocabulary_health", "SELECT d.source, count(*) AS n, count(*) FILTER (WHERE l.doc_id IS NULL) AS unmapped, count(*) FILTER (WHERE l.quality = 0) AS dismissed, count(*) FILTER (WHERE l.quality = 1) AS mapped FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id GROUP BY d.source", "documents labels")
-shared("orphans", "SELECT d.doc_id, d.source FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL", "documents labels")
-shared("failing_orders", "SELECT o.o_orderkey, count(*) AS n FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey AND NOT l.l_quantity < 40 GROUP BY o.o_orderkey", "orders lineitem")
-shared("job_transitions", "WITH t AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS was FROM {conversations}) SELECT coalesce(was, 'none') AS was, role, count(*) AS n, count(*) FILTER (WHERE was IS NOT NULL AND (was = role OR role = 'system')) AS illegal FROM t GROUP BY coalesce(was, 'none'), role", "conversations")
-shared("impure_clusters", "WITH p AS (SELECT source AS cluster, lang AS label, count(*) AS n FROM {documents} GROUP BY source, lang) SELECT cluster, count(*) AS labels, round(max(n) / CAST(sum(n) AS DOUBLE), 9) AS share FROM p GROUP BY cluster HAVING count(*) > 1", "documents")
-shared("lineage_forward", "SELECT r.r_name, n.n_name, count(DISTINCT c.c_custkey) AS customers, count(o.o_orderkey) AS orders FROM {region} r JOIN {nation} n ON n.n_regionkey = r.r_regionkey LEFT JOIN {customer} c ON c.c_nationkey = n.n_nationkey LEFT JOIN {orders} o ON o.o_custkey = c.c_custkey GROUP BY r.r_name, n.n_name", "region nation customer orders")
+oracle("vocabulary_health", "SELECT d.source, count(*) AS n, count(*) FILTER (WHERE l.doc_id IS NULL) AS unmapped, count(*) FILTER (WHERE l.quality = 0) AS dismissed, count(*) FILTER (WHERE l.quality = 1) AS mapped FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.source")
+oracle("orphans", "SELECT d.doc_id, d.source FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL")
+oracle("failing_orders", "SELECT o.o_orderkey, count(*) AS n FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND NOT l.l_quantity < 40 GROUP BY o.o_orderkey")
+oracle("job_transitions", "WITH t AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS was FROM conversations) SELECT coalesce(was, 'none') AS was, role, count(*) AS n, count(*) FILTER (WHERE was IS NOT NULL AND (was = role OR role = 'system')) AS illegal FROM t GROUP BY coalesce(was, 'none'), role")
+oracle("impure_clusters", "WITH p AS (SELECT source AS cluster, lang AS label, count(*) AS n FROM documents GROUP BY source, lang) SELECT cluster, count(*) AS labels, round(max(n) / CAST(sum(n) AS DOUBLE), 9) AS share FROM p GROUP BY cluster HAVING count(*) > 1")
+oracle("lineage_forward", "SELECT r.r_name, n.n_name, count(DISTINCT c.c_custkey) AS customers, count(o.o_orderkey) AS orders FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY r.r_name, n.n_name")
 _CLOSURE = """WITH RECURSIVE e AS (SELECT concat('r', r_regionkey) AS a, concat('n', n_nationkey) AS b FROM {region} JOIN {nation} ON n_regionkey = r_regionkey
  UNION ALL SELECT concat('n', c_nationkey), concat('c', c_custkey) FROM {customer} UNION ALL SELECT concat('c', o_custkey), concat('o', o_orderkey) FROM {orders}),
  w AS (SELECT 'r0' AS node, 0 AS depth UNION ALL SELECT e.b, w.depth + 1 FROM w JOIN e ON e.a = w.node WHERE w.depth < 5) SELECT depth, count(*) AS n FROM w GROUP BY depth"""
-shared("lineage_closure", _CLOSURE, "region nation customer orders")
+oracle("lineage_closure", _CLOSURE.replace("{", "").replace("}", ""))
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' OR (o_orderdate = TIMESTAMP '1997-01-01' AND o_orderkey < 1000) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,3 +68,68 @@ def episode_frames(episodes: DataFrame, *keep: str) -> DataFrame:
     """One row for each frame of synthetic episodes: the kept columns, frame, timestamp, observation and action."""
     zipped = episodes.select(*keep, F.posexplode(F.arrays_zip("timestamps", "observations", "actions")).alias("frame", "f"))
     return zipped.select(*keep, "frame", F.col("f.timestamps").alias("timestamp"), F.col("f.observations").alias("observation"), F.col("f.actions").alias("action"))
+
+
+def register_validations(results: DataFrame, new: DataFrame, episodes: DataFrame, order: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """(results with one row an episode and profile, episodes with the state that their latest run says)."""
+    kept = replace_latest(results, new, ["episode_id", "profile_hash"], order)
+    states = validation_states(kept, order).withColumnRenamed("state", "_state")
+    told = episodes.join(states, episodes["id"] == states["episode_id"], "left").withColumn("state", F.coalesce("_state", "state")).select(*episodes.columns)
+    return kept, told
+
+
+def register_profiles(profiles: DataFrame, new: DataFrame) -> DataFrame:
+    """The profiles with new ones; a name and version that has another hash is an error."""
+    both = profiles.unionByName(new.select(profiles.columns)).dropDuplicates(["name", "version", "profile_hash"])
+    clash = profile_conflicts(both).limit(1).collect()
+    if clash:
+        raise ValueError(f"profile {clash[0].name} {clash[0].version} is registered with another hash")
+    return both
+
+
+def upsert_arrays(table: DataFrame, arrays: DataFrame, columns: list[str], keys: list[str], order: str) -> DataFrame:
+    """A batch that comes as parallel arrays, one row of arrays a batch, put into a table by key."""
+    rows = arrays.select(F.explode(F.arrays_zip(*columns)).alias("x")).select("x.*")
+    return replace_latest(table, rows.select(*table.columns), keys, order)
+
+
+def harvest_tasks(spark: SparkSession, path: str) -> DataFrame:
+    """(task): the distinct task strings of the Parquet, JSON-lines and CSV files at a path; numbers and strings of up to 3 characters go."""
+    found = []
+    for kind, glob, names in (("parquet", "*.parquet", ("__index_level_0__", "task")), ("json", "*.jsonl", ("task",)), ("csv", "*.csv", ("task",))):
+        reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+        try:
+            df = reader.csv(path, header=True) if kind == "csv" else reader.json(path) if kind == "json" else reader.parquet(path)
+        except AnalysisException:
+            continue
+        column = next((n for n in names if n in df.columns), None)
+        if column:
+            found.append(df.select(F.trim(F.col(f"`{column}`").cast("string")).alias("task")))
+    if not found:
+        return spark.createDataFrame([], "task string")
+    every = reduce(DataFrame.unionByName, found)
+    return every.where((F.length("task") > 3) & ~F.col("task").rlike("^[0-9]+$")).distinct()
+
+
+def introspect(spark: SparkSession, tables: dict[str, DataFrame], keys: dict[str, list[str]] | None = None) -> DataFrame:
+    """(table, ordinal, column, type, nullable, is_key, n_rows) of tables, from their schemas and one count each."""
+    rows = []
+    for name, df in tables.items():
+        n = df.count()
+        rows += [(name, i, f.name, f.dataType.simpleString(), f.nullable, f.name in (keys or {}).get(name, []), n) for i, f in enumerate(df.schema.fields)]
+    return spark.createDataFrame(rows, "table string, ordinal int, column string, type string, nullable boolean, is_key boolean, n_rows long")
+
+
+def benchmark_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, name, commit, p50, p95, samples) of benchmark results kept as JSON documents, one a file; unreadable ones are left out."""
+    shape = "name string, benchmark string, commit string, git_commit string, summary struct<p50:double,p95:double,count:long>, samples array<double>"
+    docs = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", shape).alias("r"))
+    sorted_ = F.array_sort("r.samples")
+
+    def rank(q: float) -> Column:
+        return F.try_element_at(sorted_, F.greatest(F.lit(1), F.ceil(F.size("r.samples") * q)).cast("int"))
+
+    return docs.where("r is not null and (r.summary is not null or size(r.samples) > 0)").select(
+        "file", F.coalesce("r.name", "r.benchmark").alias("name"), F.coalesce("r.commit", "r.git_commit").alias("commit"),
+        F.coalesce("r.summary.p50", rank(0.5)).alias("p50"), F.coalesce("r.summary.p95", rank(0.95)).alias("p95"), F.coalesce("r.summary.count", F.size("r.samples")).cast("long").alias("samples"),
+    )
