@@ -99,7 +99,7 @@ def quality_summary(quality: DataFrame, episodes: DataFrame) -> dict[str, DataFr
 
     quality: episode_id, verdict, integrity, jerk_score, stall_ratio, dims. episodes: id, frame_count. Scored episodes are the population.
     """
-    q = quality.join(episodes.select(F.col("id").alias("episode_id"), "frame_count"), "episode_id", "left")
+    q = quality.select("episode_id", "jerk_score", "stall_ratio").join(episodes.select(F.col("id").alias("episode_id"), "frame_count"), "episode_id", "left")
     z = zscores(q, "frame_count")
     measures = {"jerk": F.col("jerk_score"), "stall": F.col("stall_ratio"), "length": F.abs("z")}
     long = reduce(DataFrame.unionByName, [z.select("episode_id", F.lit(k).alias("measure"), c.alias("value")) for k, c in measures.items()])

@@ -337,7 +337,8 @@ def snapshot(jobs: DataFrame, episodes: DataFrame, quality: DataFrame, now: Colu
     begun = F.coalesce("started_at", "created_at")
     live = jobs.where("state in ('running', 'cancel_requested', 'retrying')").orderBy(begun, "id").limit(50)
     job = F.struct(begun.alias("at"), F.col("id"), F.col("type").alias("job_type"), since(begun).alias("age_seconds"), F.coalesce(F.col("deadline_at") < now, F.lit(False)).alias("deadline_passed"))
-    scored = quality.join(episodes.select(F.col("id").alias("episode_id"), "frame_count"), "episode_id").where("frame_count is not null")
+    measures = quality.select("episode_id", "movement_score", "jerk_score", "stall_ratio")
+    scored = measures.join(episodes.select(F.col("id").alias("episode_id"), "frame_count"), "episode_id").where("frame_count is not null")
     recent = episodes.orderBy(F.col("created_at").desc(), "id").limit(newest).where("max_gap_seconds is not null")
     widest = F.struct(F.col("max_gap_seconds"), F.unix_micros("created_at"), "id")
     parts = [

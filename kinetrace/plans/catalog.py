@@ -113,7 +113,7 @@ def scored_episodes(spark, sf_dir):
 @query(SQL["job_report"])
 def job_report(spark, sf_dir):
     j = _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left")
-    made = catalog.summary(j, ["c_custkey"], {"done": F.col("o_orderstatus") == "F"}, measures={"orders": F.count("o_orderkey"), "mean_price": F.round(F.avg("o_totalprice"), 4), "top_price": F.max("o_totalprice")})
+    made = catalog.summary(j, ["c_custkey"], {"done": F.col("o_orderstatus") == "F"}, measures={"orders": F.count("o_orderkey"), "mean_price": F.round(F.avg("o_totalprice"), 6), "top_price": F.max("o_totalprice")})
     return made.drop("n").withColumnRenamed("orders", "n")
 
 

@@ -15,9 +15,9 @@ a AS (SELECT tick, count(*) FILTER (event_type = 'error') AS failures, count(*)
 #: The features that detectors read, with the catalog snapshot and host sample that the hour's counts stand for.
 _FEATURES = _RECORDS + """, f AS (SELECT tick, tick % 37 <> 5 AS reachable, (failures % 4)::DOUBLE AS queued, (users % 3)::DOUBLE AS running, ingested::DOUBLE AS ingested, ingested / 3600.0::DOUBLE AS per_second,
  CASE WHEN failures + succeeded > 0 THEN failures / (failures + succeeded) ELSE 0.0 END AS failure_rate, CASE WHEN beat IS NULL THEN NULL ELSE greatest(0.0, (tick + 1) * 3600.0 - epoch_us(beat) / 1e6) END AS beat_age, api_p95,
- CASE WHEN tick % 37 <> 5 THEN failures / events END AS quarantine, mean / 1000 AS jerk, CASE WHEN tick % 37 <> 5 THEN events * 10.0 END AS frames, 100.0 * users / 30 AS cpu, (1 + users % 5) * 1073741824.0 AS disk, (failures * 1.5)::DOUBLE AS gap,
+ CASE WHEN tick % 37 <> 5 THEN failures / events END AS quarantine, mean / 1000 AS jerk, CASE WHEN tick % 37 <> 5 THEN events * 10.0::DOUBLE END AS frames, 100.0 * users / 30 AS cpu, (1 + users % 5) * 1073741824.0 AS disk, (failures * 1.5)::DOUBLE AS gap,
  greatest(0.0, (tick + 1) * 3600.0 - epoch_us(newest) / 1e6) AS lag FROM a)"""
-_LIMIT_ROWS = {"quarantine_rate": (0.1, 0.02, 0.1, 30), "jerk_mean": (0.2, 0.01, 0.2, 30), "frame_count_median": (140.0, 10.0, 290.0, 30), "queue_depth_queued": (0.5, 0.4, 0.5, 30), "episodes_per_second": (0.001, 0.0001, 0.001, 30), "api_request_p95_seconds": (300.0, 20.0, 300.0, 30), "stall_mean": (0.1, 0.1, 0.1, 5)}
+_LIMIT_ROWS = {"quarantine_rate": (0.1, 0.02, 0.1, 30), "jerk_mean": (0.04, 0.005, 0.04, 30), "frame_count_median": (140.0, 10.0, 290.0, 30), "queue_depth_queued": (0.5, 0.4, 0.5, 30), "episodes_per_second": (0.001, 0.0001, 0.001, 30), "api_request_p95_seconds": (300.0, 20.0, 300.0, 30), "stall_mean": (0.1, 0.1, 0.1, 5)}
 
 
 def features(spark, sf_dir):

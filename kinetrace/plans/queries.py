@@ -239,7 +239,7 @@ oracle("median_lengths", "SELECT o_orderstatus, median(o_totalprice) AS med, per
 oracle("episodes_page", "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC NULLS LAST, o_orderkey DESC LIMIT 50")
 oracle("unscored_episodes", "SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)")
 oracle("scored_episodes", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
-oracle("job_report", "SELECT c.c_custkey, count(o.o_orderkey) AS n, count(*) FILTER (WHERE o.o_orderstatus = 'F') AS done, round(avg(o.o_totalprice), 4) AS mean_price, max(o.o_totalprice) AS top_price FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey")
+oracle("job_report", "SELECT c.c_custkey, count(o.o_orderkey) AS n, count(*) FILTER (WHERE o.o_orderstatus = 'F') AS done, round(avg(o.o_totalprice), 6) AS mean_price, max(o.o_totalprice) AS top_price FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey")
 oracle("content_hash_dedup", "SELECT sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS keep_id FROM documents GROUP BY sha256(text) HAVING count(*) > 1")
 oracle("entry_listing", "SELECT source, count(*) AS tasks, count(DISTINCT lang) AS langs, sum(n_chars) AS chars FROM documents GROUP BY source")
 SQL["entry_listing"] = SQL["entry_listing"].replace("sum(n_chars)", "CAST(sum(n_chars) AS BIGINT)")
