@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetrace.operators.telemetry import SEVERITIES, WARM
+from kinetrace.operators.telemetry import ABSOLUTE_FLOOR, ALPHA, MAD_SCALE, RELATIVE_FLOOR, SEVERITIES, WARM, WINDOW, identity, triage
+from kinetrace.session import cut
 
 #: The features in order, and those whose presence counts as sensor availability.
 FEATURES = (
@@ -84,7 +85,7 @@ WATCHED = {
 }
 #: Labels that notify whatever their severity, and the lag after which the monitor is blind.
 NOTIFY = ("CONTRACT_BREACH", "RUN_STALLED", "WORKER_LOST", "DISK_PRESSURE", "DATABASE_UNREACHABLE", "CLOCK_DRIFT")
-BLIND_SECONDS = 600.0
+BLIND_SECONDS, HOLD_SECONDS = 600.0, 3600.0
 SIGNAL = "struct<label:string,severity:string,scope:string,detail:string,evidence:map<string,double>,notify_class:string>"
 BASELINE = "map<string,struct<median:double,sigma:double,center:double,observations:int>>"
 
@@ -221,6 +222,8 @@ def detectors(limits: dict | None = None) -> dict[str, Column]:
         "resource_degraded": _signal(hot | full, "RESOURCE_DEGRADED", "medium", "host", F.concat(F.lit("host under pressure: "), pressed), cpu_percent=cpu, memory_used_ratio=memory, cpu_threshold=c["cpu_high_percent"], memory_threshold=c["memory_high_ratio"]),
         "metric_shift": _signal(enough, "METRIC_SHIFT", "medium", "platform", F.concat(F.size(shifted).cast("string"), F.lit(" signals moved together: "), names), shifted=F.size(shifted), min_features=c["metric_shift_min_features"], threshold_sigma=c["metric_shift_z"]),
     }
+    by_feature = F.map_from_entries(F.transform(shifted, lambda x: F.struct(F.concat(F.lit("z:"), x["feature"]), x["z"])))
+    one["metric_shift"] = F.when(one["metric_shift"].isNotNull(), one["metric_shift"].withField("evidence", F.map_concat(one["metric_shift"]["evidence"], by_feature)))
     late = F.filter("running", lambda j: (j["age_seconds"] >= c["stall_seconds"]) & (F.coalesce(j["deadline_passed"], F.lit(False)) | (F.col("episodes_ingested") <= 0)))
     many = {
         "run_stalled": F.transform(late, lambda j: _signal(F.lit(True), "RUN_STALLED", "critical", F.coalesce(j["id"], F.lit("unknown")), fmt("run has been going %.0fs", j["age_seconds"]), age_seconds=j["age_seconds"], stall_threshold_seconds=c["stall_seconds"], deadline_passed=j["deadline_passed"].cast("int"), episodes_in_window=col("episodes_ingested"))),
@@ -251,9 +254,67 @@ def blind(features: DataFrame) -> DataFrame:
 
 
 def held_features(signals: DataFrame) -> DataFrame:
-    """(tick, feature): the limits that a tick's open or bumped signals freeze."""
-    named = F.when(F.col("label") == "QUALITY_SHIFT", F.array("scope")).when(F.col("label") == "FRAME_COUNT_COLLAPSE", F.array(F.lit("frame_count_median"))).when(F.col("label") == "QUARANTINE_RATE_HIGH", F.array(F.lit("quarantine_rate")))
-    return signals.where("action in ('open', 'bump')").select("tick", F.explode(named).alias("feature")).distinct()
+    """(feature): the limits that a tick's opened or bumped signals (label, scope, evidence, action) freeze."""
+    shifted = F.transform(F.filter(F.map_keys("evidence"), lambda k: k.startswith("z:")), lambda k: F.substring_index(k, ":", -1))
+    named = (
+        F.when(F.col("label") == "QUALITY_SHIFT", F.array("scope"))
+        .when(F.col("label") == "FRAME_COUNT_COLLAPSE", F.array(F.lit("frame_count_median")))
+        .when(F.col("label") == "QUARANTINE_RATE_HIGH", F.array(F.lit("quarantine_rate")))
+        .when(F.col("label") == "RESOURCE_DEGRADED", F.array(F.lit("cpu_percent"), F.lit("memory_used_ratio")))
+        .when(F.col("label") == "METRIC_SHIFT", shifted)
+    )
+    return signals.where("action in ('open', 'bump')").select(F.explode(named).alias("feature")).distinct()
+
+
+#: The state of the limits: one row a feature and scope, with its last values and the EWMA centre.
+STATE = "feature string, scope string, samples array<double>, center double, breached boolean, held_since double"
+
+
+def limits_of(state: DataFrame) -> DataFrame:
+    """(feature, scope, median, sigma, center, observations) of the state's rows."""
+    median = "if(size({0}) % 2 = 1, element_at({0}, cast(size({0}) div 2 + 1 as int)), (element_at({0}, cast(size({0}) div 2 as int)) + element_at({0}, cast(size({0}) div 2 + 1 as int))) / 2)"
+    s = state.withColumn("_s", F.array_sort("samples")).withColumn("median", F.expr(f"if(size(_s) = 0, center, {median.format('_s')})"))
+    s = s.withColumn("_d", F.expr("array_sort(transform(samples, x -> abs(x - median)))"))
+    mad = F.expr(f"if(size(_d) < 2, 0D, {median.format('_d')})")
+    sigma = F.greatest(MAD_SCALE * mad, RELATIVE_FLOOR * F.abs("median"), F.lit(ABSOLUTE_FLOOR))
+    return s.select("feature", "scope", "median", sigma.alias("sigma"), "center", F.size("samples").alias("observations"))
+
+
+def observe(state: DataFrame, seen: DataFrame, held: DataFrame, now: float) -> DataFrame:
+    """The state after a tick: held limits are frozen (since `now`, or before), all others released, and then each takes in its value.
+
+    seen: feature, scope, value. held: feature. A limit that is not known is never held.
+    """
+    j = state.join(seen.select("feature", "scope", "value"), ["feature", "scope"], "full").join(held.select("feature", F.lit(True).alias("_held")), "feature", "left")
+    freeze = F.col("samples").isNotNull() & F.coalesce("_held", F.lit(False)) & (F.col("scope") == "")
+    takes = ~freeze & F.col("value").isNotNull()
+    old = F.coalesce("samples", F.expr("cast(array() as array<double>)"))
+    grown = F.concat(old, F.array("value"))
+    samples = F.when(takes, F.slice(grown, F.greatest(F.lit(1), F.size(grown) - WINDOW + 1), F.lit(WINDOW))).otherwise(old)
+    center = F.when(takes & (F.size(old) == 0), F.col("value")).when(takes, F.col("center") + ALPHA * (F.col("value") - F.col("center"))).otherwise(F.coalesce("center", F.lit(0.0)))
+    since = F.when(freeze, F.coalesce("held_since", F.lit(now)))
+    return j.select("feature", "scope", samples.alias("samples"), center.alias("center"), freeze.alias("breached"), since.alias("held_since"))
+
+
+def expire(state: DataFrame, now: float, seconds: float = HOLD_SECONDS) -> DataFrame:
+    """The state with the holds of an hour or more released."""
+    over = F.col("breached") & F.coalesce(F.lit(now) - F.col("held_since") >= seconds, F.lit(False))
+    return state.withColumns({"breached": F.col("breached") & ~over, "held_since": F.when(~over, F.col("held_since"))})
+
+
+def tick(features: DataFrame, state: DataFrame, incidents: DataFrame, now: float, floor: str = "medium") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signals with their actions, state, incidents) after one tick's feature row.
+
+    All inputs are small (the limits are some dozens of rows); what a tick decides is cut, so that plans stay short.
+    """
+    state = cut(expire(state, now))
+    tick_of = features.select("tick")
+    known = limits_of(state).join(F.broadcast(tick_of.withColumn("_", F.lit(True))), F.col("_")).drop("_")
+    found = detect(features, known).withColumns({"window": F.col("tick"), "ts": F.col("now"), "has_evidence": F.size("evidence") > 0, "fingerprint": identity("label", "scope", F.lit(""))})
+    acted = cut(triage(found, incidents.select("fingerprint", "status", "last_seen"), floor))
+    accepted = acted.where("action in ('open', 'bump')")
+    after = cut(fold_incidents(incidents, accepted))
+    return acted, cut(observe(state, observations(features), held_features(acted), now)), after
 
 
 def fold_incidents(incidents: DataFrame, accepted: DataFrame) -> DataFrame:
