@@ -50,6 +50,8 @@ class _Cache(dict):
             base = word.rstrip(MARKS)
             if 1 < len(base) < len(word) and base[-1].isascii() and base[-1].isalpha():
                 ids = self[base] + self.owner.plain[word[len(base) :]]
+            elif self.owner.kind == "word" and LATIN(word) and (low := word.lower()) != word:
+                ids = self[low]  # that vocabulary's own first step
             else:
                 ids = self.owner.ids(self.prefix, word)
         if len(word) <= LONGEST:
