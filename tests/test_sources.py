@@ -111,3 +111,19 @@ def test_synthetic_episodes(spark):
     found = {r.id: r.problem for r in records.episode_problems(df).collect()}
     assert found == {1: None, 2: "widths differ", 3: "time runs back", 4: "lengths differ", 5: "empty"}
     assert records.episode_frames(df.where("id = 1"), "id").count() == 2
+
+
+def test_lz4_frames():
+    def frame(*blocks, flags=0x60):
+        return b"\x04\x22\x4d\x18" + bytes([flags, 0x40, 0]) + b"".join(struct.pack("<I", len(b) | raw) + b for b, raw in blocks) + bytes(4)
+
+    literals = bytes([0x50]) + b"hello"
+    assert recordings.lz4_frame(frame((literals, 0))) == b"hello"
+    overlap = bytes([0x1F]) + b"a" + struct.pack("<H", 1) + bytes([0]) + bytes([0x10]) + b"b"
+    assert recordings.lz4_frame(frame((overlap, 0))) == b"a" * 20 + b"b"
+    many = bytes([0xF0, 255, 15]) + b"x" * 285
+    assert recordings.lz4_frame(frame((many, 0), (b"raw", 1 << 31))) == b"x" * 285 + b"raw"
+    linked = frame((literals, 0), (bytes([0x01]) + struct.pack("<H", 5) + bytes([0x10]) + b"!", 0), flags=0x40)
+    assert recordings.lz4_frame(linked) == b"hellohello!"
+    with pytest.raises(recordings.UnreadableRecording):
+        recordings.lz4_frame(frame((bytes([0x01]) + struct.pack("<H", 9) + bytes([0x10]) + b"!", 0)))

@@ -24,3 +24,23 @@ def test_a_breach_holds_the_limits(spark, tmp_path):
     found = spark.read.parquet(str(tmp_path / "out")).orderBy("ts").collect()
     assert [r.held for r in found] == [False] * 24 + [True, True, False]
     assert found[23].ewma == found[25].ewma and found[19].z == 0.0 and found[20].z != 0.0
+
+
+def test_live_clusters_are_those_of_one_run(spark, tmp_path):
+    import numpy as np
+
+    from kinetrace.functions.tasks import Centroids
+    from kinetrace.streaming import clusters
+
+    rng = np.random.default_rng(3)
+    points = [(f"p{i}", i, (np.eye(5)[i % 3] + 0.1 * rng.normal(size=5)).tolist()) for i in range(30)]
+    for part in (0, 1):
+        rows = [("s", *p) for p in points[15 * part : 15 * part + 15]]
+        spark.createDataFrame(rows, "session string, id string, position long, vector array<double>").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("session string, id string, position long, vector array<double>").parquet(str(tmp_path / "in"))
+    metrics.run_available(clusters.live_clusters(stream, confirm_at=20, confirm_top=1), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = {r.id: r.cluster for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    model = Centroids(0.3)
+    assert got == {i: model.add(np.array(v))[0] for i, _, v in points} and len(set(got.values())) == 3
+    df = spark.createDataFrame([(i, v) for i, _, v in points], "id string, vector array<double>")
+    assert {r.id: r.cluster for r in clusters.final_labels(df, [p.tolist() for p in model.points]).collect()} == got
