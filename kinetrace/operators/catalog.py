@@ -66,7 +66,7 @@ def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     bounds = df.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi")).where("lo is not null")
     bounds = bounds.withColumn("width", F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("hi") - F.col("lo")) / bins)).withColumn("_", F.lit(True))
     placed = df.where(F.col(column).isNotNull()).join(F.broadcast(bounds), F.col("_")).groupBy(F.least(F.floor((F.col(column) - F.col("lo")) / F.col("width")), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"))
-    edges = bounds.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("long").alias("bin"), "lo", "width")
+    edges = bounds.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"), "lo", "width")
     edges = edges.select("bin", (F.col("lo") + F.col("bin") * F.col("width")).cast("long").alias("low"), (F.col("lo") + (F.col("bin") + 1) * F.col("width")).cast("long").alias("high"))
     return edges.join(placed, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetrace.functions import tasks
-from kinetrace.operators import curation, quality, redundancy, telemetry, validation
+from kinetrace.operators import catalog, curation, evaluation, quality, redundancy, telemetry, validation, vocabulary
 from kinetrace.session import prepare, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,16 +159,12 @@ oracle("json_label_projection", "SELECT event_id, CAST(json_extract_string(props
 
 @query("SELECT event_type, arg_max(event_id, event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY event_type")
 def newest_record(spark, sf_dir):
-    at = F.struct("ts", -F.col("event_id"))
-    return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.max_by("event_id", at).alias("event_id"), F.max_by("value", at).alias("value"))
+    return catalog.newest_per_key(_t(spark, sf_dir, "events"), "event_type", F.struct("ts", -F.col("event_id")), "event_id", "value")
 
 
 @query("SELECT event_type, CAST(greatest(0, epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts))) AS BIGINT) AS age_us FROM events GROUP BY event_type")
 def heartbeat_age(spark, sf_dir):
-    e = _t(spark, sf_dir, "events")
-    now = e.agg(F.max("ts").alias("now"))
-    newest = e.groupBy("event_type").agg(F.max("ts").alias("ts"))
-    return newest.join(F.broadcast(now)).select("event_type", F.greatest(F.lit(0).cast("long"), F.unix_micros("now") - F.unix_micros("ts")).alias("age_us"))
+    return catalog.ages(_t(spark, sf_dir, "events"), "event_type", "ts")
 
 
 @query(
@@ -268,15 +264,13 @@ SELECT r.bin, CAST(coalesce(b.n, 0) AS BIGINT) AS n FROM (SELECT unnest(range(10
 
 @query(_HIST)
 def length_histogram(spark, sf_dir):
-    lengths = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    span = lengths.agg(F.min("n").alias("lo"), F.max("n").alias("hi")).withColumn("wd", F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("hi") - F.col("lo")) / 10.0))
-    bins = lengths.join(F.broadcast(span)).groupBy(F.least(F.floor((F.col("n") - F.col("lo")) / F.col("wd")), F.lit(9)).alias("bin")).agg(F.count("*").alias("m"))
-    return spark.range(10).select(F.col("id").alias("bin")).join(bins, "bin", "left").select("bin", F.coalesce("m", F.lit(0)).alias("n"))
+    lengths = catalog.counts(_t(spark, sf_dir, "lineitem"), "l_orderkey")
+    return catalog.histogram(lengths, "n").select("bin", "n")
 
 
 @query("SELECT l_returnflag, round(avg(l_quantity) FILTER (l_linestatus = 'F'), 6) AS F, round(avg(l_quantity) FILTER (l_linestatus = 'O'), 6) AS O FROM lineitem GROUP BY l_returnflag")
 def quality_heat_matrix(spark, sf_dir):
-    return _t(spark, sf_dir, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.round(F.avg("l_quantity"), 6))
+    return catalog.matrix(_t(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus", F.round(F.avg("l_quantity"), 6), ["F", "O"])
 
 
 @query(
@@ -289,9 +283,8 @@ def slice_impact(spark, sf_dir):
 
 @query("SELECT CASE WHEN o_orderstatus IS DISTINCT FROM 'F' THEN 'state' WHEN o_totalprice <= 150000 THEN 'price' ELSE 'unscored' END AS reason, count(*) AS n FROM orders WHERE NOT (o_orderstatus = 'F' AND o_totalprice > 150000) GROUP BY 1")
 def drop_reasons(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders").where(~((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 150000)))
-    why = F.when(~F.col("o_orderstatus").eqNullSafe("F"), "state").when(F.col("o_totalprice") <= 150000, "price").otherwise("unscored")
-    return o.groupBy(why.alias("reason")).agg(F.count("*").alias("n"))
+    checks = [("state", F.col("o_orderstatus").eqNullSafe("F")), ("price", F.col("o_totalprice") > 150000)]
+    return catalog.drop_reasons(_t(spark, sf_dir, "orders"), checks)
 
 
 def _episodes(spark, sf_dir):
@@ -317,8 +310,7 @@ def validation_rules(spark, sf_dir):
 
 @query(_VALID + " SELECT code, count(*) AS n FROM (SELECT unnest(codes) AS code FROM v) GROUP BY code")
 def reason_code_histogram(spark, sf_dir):
-    v = validation.validate(_episodes(spark, sf_dir), PROFILE)
-    return v.select(F.explode("reason_codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    return catalog.exploded_counts(validation.validate(_episodes(spark, sf_dir), PROFILE), "reason_codes")
 
 
 @query(_VALID + " SELECT count(*) AS evaluated, count(*) FILTER (len(codes) > 0) AS quarantined, count(*) FILTER (len(codes) = 0) AS valid FROM v")
@@ -353,22 +345,20 @@ def coverage_gaps(spark, sf_dir):
 
 @query("SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS members FROM orders GROUP BY o_custkey")
 def artifact_members(spark, sf_dir):
-    ids = F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string"))
-    return _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(ids, ",").alias("members"))
+    found = catalog.members(_t(spark, sf_dir, "orders"), "o_custkey", "o_orderkey")
+    return found.select("o_custkey", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("members"))
 
 
 @query("SELECT l_suppkey AS channel, count(*) AS n, CAST(0 AS BIGINT) AS nonfinite, min(l_quantity) AS low, max(l_quantity) AS high, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS std FROM lineitem GROUP BY l_suppkey")
 def channel_statistics(spark, sf_dir):
-    q = F.col("l_quantity")
-    fine = F.when(~F.isnan(q) & (F.abs(q) != float("inf")), q)
-    return _t(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("channel")).agg(F.count("*").alias("n"), F.count_if(fine.isNull()).alias("nonfinite"), F.min(fine).alias("low"), F.max(fine).alias("high"), F.round(F.avg(fine), 6).alias("mean"), F.round(F.stddev_pop(fine), 6).alias("std"))
+    s = catalog.value_statistics(_t(spark, sf_dir, "lineitem"), "l_suppkey", "l_quantity").withColumnRenamed("l_suppkey", "channel")
+    return s.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
 
 
 @query("WITH g AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap, event_id FROM events) SELECT user_id, CAST(max(gap) AS BIGINT) AS gap_us, arg_max(event_id, gap) AS event_id FROM g GROUP BY user_id")
 def max_timestamp_gap(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    g = _t(spark, sf_dir, "events").withColumn("gap", F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w))
-    return g.groupBy("user_id").agg(F.max("gap").alias("gap_us"), F.max_by("event_id", "gap").alias("event_id"))
+    g = catalog.widest_gap(_t(spark, sf_dir, "events"), "user_id", F.unix_micros("ts"), ["event_id"], "event_id")
+    return g.withColumnRenamed("gap", "gap_us")
 
 
 # --- task strings and clusters ------------------------------------------------------------------------
@@ -409,9 +399,9 @@ def distinct_cores(spark, sf_dir):
 )
 def candidate_rank(spark, sf_dir):
     p = _part_cores(spark, sf_dir)
-    e = p.where("p_partkey % 7 = 0").groupBy("core").agg(F.countDistinct("p_name").alias("k"), F.min("p_name").alias("entry"))
-    u = p.where("p_partkey % 7 <> 0").groupBy("core").agg(F.count("*").alias("n"))
-    return u.join(e, "core", "left").where("k is null or k = 1").select("core", "n", F.when(F.col("k").isNull(), "new_entry").otherwise("attach").alias("kind"), "entry")
+    entries = p.where("p_partkey % 7 = 0").select(F.col("p_name").alias("id"), F.col("p_name").alias("label"), "core").distinct()
+    free = p.where("p_partkey % 7 <> 0").select(F.col("p_name").alias("task_string"), "core", F.lit(1).alias("episodes"))
+    return vocabulary.candidates(free, entries).select("core", F.col("episodes").alias("n"), "kind", F.col("label").alias("entry"))
 
 
 @query()
@@ -433,11 +423,8 @@ def task_clusters(spark, sf_dir):
     p AS (SELECT a.item_id AS a, b.item_id AS b, a.n AS na, b.n AS nb, count(*) AS k FROM t a JOIN t b ON a.x = b.x AND a.item_id < b.item_id GROUP BY ALL) SELECT a, b, round(k / (na + nb - k), 9) AS jaccard FROM p WHERE k / (na + nb - k) > 0.05"""
 )
 def jaccard_pairs(spark, sf_dir):
-    w = _t(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(tasks.tokens("text")).alias("w"))
-    t = w.select("item_id", F.size("w").alias("n"), F.explode("w").alias("x"))
-    a, b = (t.select(F.col("item_id").alias(k), F.col("n").alias(f"n{k}"), "x") for k in "ab")
-    p = a.join(b, "x").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k")).withColumn("j", F.col("k") / (F.col("na") + F.col("nb") - F.col("k")))
-    return p.where("j > 0.05").select("a", "b", F.round("j", 9).alias("jaccard"))
+    w = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), tasks.tokens("text").alias("words"))
+    return evaluation.jaccard_pairs(w, 0.05).where("jaccard > 0.05").withColumn("jaccard", F.round("jaccard", 9))
 
 
 _EVAL = """WITH e AS (SELECT vec_id, label, list_position(embedding, list_max(embedding)) - 1 AS cluster FROM embeddings),
@@ -449,38 +436,25 @@ def _clusters(spark, sf_dir):
     return e.select("vec_id", "label", (F.array_position("embedding", F.array_max("embedding")) - 1).cast("int").alias("cluster"))
 
 
-def _pairs(n) -> F.Column:
-    return F.sum(n * (n - 1) / 2)
-
-
 @query(_EVAL + """, s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS i, (SELECT sum(n * (n - 1) / 2) FROM a) AS p, (SELECT sum(n * (n - 1) / 2) FROM b) AS q, (SELECT sum(n) * (sum(n) - 1) / 2 FROM c) AS t)
 SELECT round((i - p * q / t) / ((p + q) / 2 - p * q / t), 6) AS ari, round(i / q, 6) AS pair_precision, round(i / p, 6) AS pair_recall, round(2 * i / (p + q), 6) AS pair_f1 FROM s""")
 def adjusted_rand(spark, sf_dir):
-    c = _clusters(spark, sf_dir).groupBy("label", "cluster").agg(F.count("*").alias("n"))
-    i = c.agg(_pairs(F.col("n")).alias("i"), F.sum("n").alias("m"))
-    p = c.groupBy("label").agg(F.sum("n").alias("n")).agg(_pairs(F.col("n")).alias("p"))
-    q = c.groupBy("cluster").agg(F.sum("n").alias("n")).agg(_pairs(F.col("n")).alias("q"))
-    s = i.join(F.broadcast(p)).join(F.broadcast(q)).withColumn("t", F.col("m") * (F.col("m") - 1) / 2).withColumn("x", F.col("p") * F.col("q") / F.col("t"))
-    return s.select(F.expr("round((i - x) / ((p + q) / 2 - x), 6)").alias("ari"), F.expr("round(i / q, 6)").alias("pair_precision"), F.expr("round(i / p, 6)").alias("pair_recall"), F.expr("round(2 * i / (p + q), 6)").alias("pair_f1"))
+    return evaluation.rand_scores(_clusters(spark, sf_dir), "label", "cluster").select(*[F.round(c, 6).alias(c) for c in ("ari", "pair_precision", "pair_recall", "pair_f1")])
 
 
 @query(_EVAL + """ SELECT round(sum(c.n * (2 * (c.n / b.n) * (c.n / a.n) / (c.n / b.n + c.n / a.n))) / sum(c.n), 6) AS b_cubed FROM c JOIN a USING (label) JOIN b USING (cluster)""")
 def b_cubed(spark, sf_dir):
-    c = _clusters(spark, sf_dir).groupBy("label", "cluster").agg(F.count("*").alias("n"))
-    c = c.withColumn("a", F.sum("n").over(Window.partitionBy("label"))).withColumn("b", F.sum("n").over(Window.partitionBy("cluster")))
-    return c.agg(F.expr("round(sum(n * (2 * (n / b) * (n / a) / (n / b + n / a))) / sum(n), 6)").alias("b_cubed"))
+    return evaluation.b_cubed(_clusters(spark, sf_dir), "label", "cluster").select(F.round("b_cubed", 6).alias("b_cubed"))
 
 
 @query(_EVAL + " SELECT label, count(*) AS clusters, CAST(max(n) AS BIGINT) AS largest, count(*) = 1 AS intact FROM c GROUP BY label")
 def fragmentation(spark, sf_dir):
-    c = _clusters(spark, sf_dir).groupBy("label", "cluster").agg(F.count("*").alias("n"))
-    return c.groupBy("label").agg(F.count("*").alias("clusters"), F.max("n").alias("largest"), (F.count("*") == 1).alias("intact"))
+    return evaluation.fragmentation(_clusters(spark, sf_dir), "label", "cluster").drop("modal_share")
 
 
 @query(_EVAL + " SELECT cluster, label, round(n / sum(n) OVER (PARTITION BY cluster), 9) AS share FROM c")
 def cluster_attribute_share(spark, sf_dir):
-    c = _clusters(spark, sf_dir).groupBy("label", "cluster").agg(F.count("*").alias("n"))
-    return c.select("cluster", "label", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("cluster")), 9).alias("share"))
+    return evaluation.attribute_shares(_clusters(spark, sf_dir), "cluster", "label").withColumn("share", F.round("share", 9))
 
 
 @query(
@@ -488,11 +462,7 @@ def cluster_attribute_share(spark, sf_dir):
     q AS (SELECT label, sum(x * x) AS x FROM u GROUP BY 1), w AS (SELECT label, sum(x * x) AS x FROM s GROUP BY 1) SELECT label, n, round((w.x - q.x) / (n * (n - 1)), 5) AS within FROM n JOIN q USING (label) JOIN w USING (label)"""
 )
 def axis_distance(spark, sf_dir):
-    """Mean inner product of the pairs within a label, from sums of coordinates: no pair is made."""
-    u = _t(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
-    s = u.groupBy("label", "i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("n"))
-    g = s.groupBy("label").agg(F.max("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("w"), F.sum("q").alias("q"))
-    return g.select("label", "n", F.round((F.col("w") - F.col("q")) / (F.col("n") * (F.col("n") - 1)), 5).alias("within"))
+    return catalog.distance_profile(_t(spark, sf_dir, "embeddings"), "label", "embedding", "vec_id").withColumn("within", F.round("within", 5))
 
 
 @query(SQL["metric_series_tumbling"])
