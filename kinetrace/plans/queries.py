@@ -119,7 +119,7 @@ def episode_fingerprints(spark, sf_dir):
 
 @query()
 def redundancy_report(spark, sf_dir):
-    return redundancy.redundancy(episode_fingerprints(spark, sf_dir), threshold=0.2)
+    return redundancy.redundancy(episode_fingerprints(spark, sf_dir))
 
 
 # --- telemetry ----------------------------------------------------------------------------------------
