@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetrace.llm.tokens import encoder
-from kinetrace.session import prepare, ranges
+from kinetrace.session import cut, prepare, ranges
 
 MAGIC = b"BPS1"
 BLOCK = 65_536
 FILE_IDS = 1 << 20
+MOST_FILES = 1_000_000
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -177,8 +178,9 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.expr(before).alias("shard_base"))
     inner = "coalesce(sum(n_ids) over (partition by shard order by file_no rows between unbounded preceding and 1 preceding), 0)"
     bases = files.select("shard", "file_no", F.expr(inner).alias("file_base")).join(shards, "shard")
-    bases = bases.select("shard", "file_no", (F.col("shard_base") + F.col("file_base")).alias("base"))
-    return files.join(bases, ["shard", "file_no"])
+    bases = cut(bases.select("shard", "file_no", (F.col("shard_base") + F.col("file_base")).alias("base")))
+    # One row of 16 bytes a file goes to all workers, so that the contents stay where they are; beyond MOST_FILES they are dealt.
+    return files.join(F.broadcast(bases) if bases.count() <= MOST_FILES else bases, ["shard", "file_no"])
 
 
 def document_index(spark: SparkSession, path: str) -> DataFrame:
