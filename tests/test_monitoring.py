@@ -25,24 +25,26 @@ def snapshots(ticks):
 
 
 def test_a_stream_of_ticks(spark, tmp_path):
-    first = START - START % 50 + 27  # 22 quiet ticks, one with two features off, one quiet
-    rows = [("workers_heartbeat_age_seconds", 0.0, {}, dt.datetime.fromtimestamp((first + i) * 60 + 30, dt.UTC)) for i in range(24)]
+    first = START - START % 50 + 48  # a quiet tick, one with a feature off, two quiet ones; the second batch starts with the third
+    before = [0.1 + 0.01 * (i % 4) for i in range(25)]
+    known = [("quarantine_rate", "", before, 0.11, False, None), ("queue_depth_queued", "", [1.0], 1.0, False, None)]
+    spark.createDataFrame(known, monitoring.STATE).write.parquet(str(tmp_path / "out/state/batch=-1"))
+    rows = [("workers_heartbeat_age_seconds", 0.0, {}, dt.datetime.fromtimestamp((first + i) * 60 + 30, dt.UTC)) for i in range(4)]
     schema = "name string, value double, labels map<string,string>, ts timestamp"
-    for part in (0, 1):
-        spark.createDataFrame(rows[part * 12 : part * 12 + 12], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for part in (rows[:2], rows[2:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     monitor.run_ticks(stream, snapshots, str(tmp_path / "out"))
     signals = spark.read.parquet(str(tmp_path / "out/signals")).orderBy("tick", "seq").collect()
-    assert {r.label for r in signals} == {"QUARANTINE_RATE_HIGH"} and {r.tick % 50 for r in signals} == {49}
-    assert {r.action for r in signals} == {"open"}
+    assert [(r.label, r.tick, r.action, r.severity) for r in signals] == [("QUARANTINE_RATE_HIGH", first + 1, "open", "high")]
     state = monitor._latest(spark, str(tmp_path / "out/state"), monitoring.STATE, 99)
-    rate = [0.1 + 0.01 * ((first + i) % 4) for i in range(24) if (first + i) % 50 != 49]
+    rate = before + [0.1 + 0.01 * ((first + i) % 4) for i in (0, 2, 3)]  # the tick that fired is not learned
     got = {r.feature: r for r in state.collect()}
     assert got["quarantine_rate"].samples == pytest.approx(rate) and not got["quarantine_rate"].breached
-    center = rate[0]
-    for x in rate[1:]:
+    center = 0.11
+    for x in rate[25:]:
         center += 0.2 * (x - center)
-    assert got["quarantine_rate"].center == pytest.approx(center) and len(got["queue_depth_queued"].samples) == 24
+    assert got["quarantine_rate"].center == pytest.approx(center) and len(got["queue_depth_queued"].samples) == 5
     limits = {r.feature: r for r in monitoring.limits_of(state).collect()}
     median = statistics.median(rate)
     assert limits["quarantine_rate"].median == pytest.approx(median)
