@@ -45,15 +45,12 @@ INSTRUCTION = {"capacity": 4096, "max_segments": 16, "max_loss": 4064}
 class Item:
     """A piece of an example: ids[lo:hi] of document `doc`, with a mask of loss-bearing tokens or None for all."""
 
-    __slots__ = ("doc", "hi", "ids", "lo", "mask")
+    __slots__ = ("doc", "hi", "ids", "lo", "mask", "needs")
 
     def __init__(self, doc, ids, lo, hi, mask=None):
         self.doc, self.ids, self.lo, self.hi, self.mask = doc, ids, lo, hi, mask
-
-    @property
-    def needs(self) -> tuple[int, int]:
-        n = self.hi - self.lo
-        return n, n if self.mask is None else int(self.mask[self.lo : self.hi].sum())
+        #: (tokens, loss-bearing tokens)
+        self.needs: tuple[int, int] = hi - lo, hi - lo if mask is None else int(np.count_nonzero(mask[lo:hi]))
 
     def cut(self, n: int) -> tuple[Item, Item]:
         return Item(self.doc, self.ids, self.lo, self.lo + n, self.mask), Item(self.doc, self.ids, self.lo + n, self.hi, self.mask)
