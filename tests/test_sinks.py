@@ -214,3 +214,16 @@ def test_listing_cursor_and_gaps(spark):
     with pytest.raises(ValueError):
         catalog.reachable(edges, start, max_depth=1)
     assert {r.key: r.n for r in curation.coverage_report(curation.coverage(spark.createDataFrame([("x", True), ("y", False)], "t string, i boolean"), "i", ["t"])).select(F.col("value").alias("key"), F.col("ratio").alias("n")).collect()} == {"x": 2.0, "y": 0.0}
+
+
+def test_channels_of_messages(spark):
+    rows = [("f", i, "/a", "json", "S", 1_000_000_000 + i * 500_000_000, bytearray(json.dumps({"x": i, "y": {"z": 2 * i}}).encode())) for i in range(5)]
+    rows += [("f", 5, "/b", "json", "T", 0, bytearray(b"7")), ("f", 6, "/b", "json", "T", 10, bytearray(b"{nope")), ("f", 7, "/c", "cdr", None, 0, bytearray(b"xx"))]
+    found = spark.createDataFrame(rows, "file string, ordinal long, topic string, encoding string, schema_name string, log_time_ns long, payload binary")
+    numbers = recordings.message_numbers(found)
+    got = {r.topic: r for r in recordings.channel_summary(found, numbers).collect()}
+    assert (got["/a"].messages, got["/a"].rate, got["/a"].n, got["/a"].high) == (5, 2.0, 10, 8.0) and got["/c"].n is None and got["/b"].n == 1
+    assert {(r.topic, r.undecodable) for r in recordings.undecodable(found).collect()} == {("/a", 0), ("/b", 1), ("/c", 1)}
+    assert tuple(recordings.scorable_topic(numbers).first()) == ("f", "/a", 2, 5)
+    frames = recordings.topic_frames(numbers, "/a", ["x", "y.z"])
+    assert [(r.t, r["x"], r["y.z"]) for r in frames.orderBy("t").collect()][1] == (1.5, 1.0, 2.0)
