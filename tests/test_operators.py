@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kinetrace.functions import tasks
 from kinetrace.operators import curation, telemetry, validation
+from kinetrace.plans import catalog, monitoring, storage  # noqa: F401  (they register their queries)
 from kinetrace.plans.queries import QUERIES, SQL
 
 
