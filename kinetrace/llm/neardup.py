@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from kinetrace.llm.graph import components
 from kinetrace.llm.text import minhash, multipliers, shingles
+from kinetrace.operators import sets as sets_
 from kinetrace.session import cut, partitions, prepare
 
 #: Estimated likeness above which a canopy takes a text in, and above which the text needs no other canopy.
@@ -41,7 +42,7 @@ LOOSE, TIGHT, RIM = 0.5, 0.88, 0.4
 #: Sampled pairs that measure recall: how far above the threshold, how many at least, and the largest set of a sampled text.
 BAND, LEAST_PAIRS, LARGEST = 0.1, 200, 10_000
 #: The most bits of a block's incidence matrix that are held at a time.
-MATRIX = 1 << 26
+MATRIX = sets_.MATRIX
 
 
 def forest_depth(threshold: float, trees: int, max_depth: int, recall: float, measured: dict[int, int] | None = None) -> int:
@@ -226,105 +227,7 @@ def _shingled(k: int):
 
 
 def linked_pairs(sets: list[np.ndarray], split: int, p: int, q: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each i the j > i with a Jaccard index of p/q or more; split > 0: only pairs across that position."""
-    size = np.array([len(x) for x in sets])
-    n = len(sets)
-    if n <= 4:
-        for i in range(n - 1):
-            js = [j for j in range(max(i + 1, split), n) if (i < split or not split) and (p + q) * len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= p * (size[i] + size[j])]
-            yield i, np.array(js, dtype=np.int64)
-        return
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count >= 2
-    place = np.cumsum(shared) - 1
-    keep = shared[column]
-    row, column = np.repeat(np.arange(n), size)[keep], place[column[keep]]
-    width, step = int(shared.sum()), max(64, MATRIX // n // 64 * 64)
-
-    def packed(lo: int) -> np.ndarray:
-        here = (column >= lo) & (column < lo + step)
-        bits = np.zeros((n, -(-min(step, width - lo) // 64) * 64), dtype=bool)
-        bits[row[here], column[here] - lo] = True
-        return np.packbits(bits, axis=1).view(np.uint64)
-
-    def common(x: np.ndarray, i: int) -> np.ndarray:
-        return np.bitwise_count(x[max(i + 1, split) :] & x[i]).sum(axis=1, dtype=np.int64)
-
-    ends = range(split or n - 1)
-    if width <= step:
-        x = packed(0) if width else np.zeros((n, 0), np.uint64)
-        both = (common(x, i) for i in ends)
-    else:  # a wide block is counted in parts of its columns
-        sums = [0] * len(ends)
-        for lo in range(0, width, step):
-            x = packed(lo)
-            sums = [sums[i] + common(x, i) for i in ends]
-        both = iter(sums)
-    for i in ends:
-        lo = max(i + 1, split)
-        yield i, np.flatnonzero((p + q) * next(both) >= p * (size[lo:] + size[i])) + lo
-
-
-def _verifier(threshold: float):
-    frac = Fraction(str(threshold))
-    p, q = frac.numerator, frac.denominator
-
-    def solve(uid, chunk, sets):
-        order = sorted(range(len(uid)), key=lambda i: (chunk[i], uid[i]))
-        order = [i for n, i in enumerate(order) if not n or uid[order[n - 1]] != uid[i]]
-        ids, sets = np.array([uid[i] for i in order]), [sets[i] for i in order]
-        chunks = [chunk[i] for i in order]
-        split = chunks.index(chunks[-1]) if chunks[0] != chunks[-1] else 0
-        links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        for i, js in linked_pairs(sets, split, p, q):
-            if len(js):
-                links[i] += len(js)
-                links[js] += 1
-                roots = np.unique(np.append(label[js], label[i]))
-                if len(roots) > 1:
-                    label[np.isin(label, roots)] = roots[0]
-        return ids, links, ids[label]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, ([], [], [])
-
-        def done():
-            out = solve(*group) if not key or key[1] == key[2] or len(set(group[1])) > 1 else None
-            if out is None or not out[1].any():
-                return None
-            hit = out[1] > 0
-            return pa.RecordBatch.from_arrays([pa.array(x[hit], pa.int64()) for x in out], ["uid", "links", "root"])
-
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("component", "bi", "bj", "uid", "chunk", "text")]
-            for component, bi, bj, uid, chunk, data in zip(*cols, strict=True):
-                if (component, bi, bj) != key:
-                    if key is not None and (out := done()) is not None:
-                        yield out
-                    key, group = (component, bi, bj), ([], [], [])
-                for x, y in zip(group, (uid, chunk, np.frombuffer(data, np.uint64)), strict=True):
-                    x.append(y)
-        if key is not None and (out := done()) is not None:
-            yield out
-
-    return run
-
-
-def _meetings(sized: DataFrame, threshold: float, block_docs: int, block_shingles: int) -> DataFrame:
-    """(uid, component, copy_of, chunk, bi, bj): a text's block, and the pairs of blocks in which it is compared."""
-    parts = F.ceil(F.greatest(F.count("*") / block_docs, F.sum("size") / block_shingles))
-    wholes = sized.groupBy("component").agg(parts.alias("whole"))
-    # A little wider than the threshold asks, so that rounding never sets two sizes that can link two classes apart.
-    of_size = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1.01 / threshold))).cast("long")
-    classed = sized.join(wholes, "component").withColumn("class", F.when(F.col("whole") > 1, of_size).otherwise(F.lit(0)).cast("long"))
-    classed = cut(classed.select("uid", "component", "copy_of", "size", "class"))
-    blocks = classed.groupBy("component", "class").agg(parts.cast("long").alias("parts"))
-    chunk = F.expr("shiftleft(class, 32) + pmod(hash(uid), parts)")
-    placed = classed.join(blocks, ["component", "class"]).select("uid", "component", "copy_of", "class", chunk.alias("chunk"))
-    near = blocks.select("component", F.explode(F.expr("array(class - 1, class, class + 1)")).alias("class"), F.col("class").alias("met"), "parts")
-    met = placed.join(near, ["component", "class"]).select("uid", "component", "copy_of", "chunk", "met", F.explode(F.expr("sequence(0L, parts - 1)")).alias("j"))
-    other = F.expr("shiftleft(met, 32) + j")
-    return met.select("uid", "component", "copy_of", "chunk", F.least("chunk", other).alias("bi"), F.greatest("chunk", other).alias("bj"))
+    return sets_.linked_pairs(sets, split, p, q, MATRIX)
 
 
 def near_duplicates(
@@ -359,21 +262,7 @@ def near_duplicates(
     rims = found.where("kind = 1").dropDuplicates(["run", "a"]).groupBy("run").applyInPandas(_stitch, "a long, b long")
     loose = components(found.where("kind = 0").select("a", "b").unionByName(rims)).withColumnRenamed("node", "uid")
 
-    sized = loose.join(reps.select("uid", "copy_of", "size"), "uid")
-    met = cut(_meetings(sized, threshold, block_docs, block_shingles))
-    wanted = met.groupBy("uid", "component", "copy_of", "chunk").agg(F.collect_list(F.struct("bi", "bj")).alias("pairs"))
-    texts = keyed.alias("d").join(wanted.alias("w"), (F.col("d.uid") == F.col("w.uid")) & F.col("d.doc_id").eqNullSafe(F.col("w.copy_of")))
-    sets = texts.select("d.uid", "component", "chunk", "pairs", "text").mapInArrow(_shingled(k), "uid long, component long, chunk long, pairs array<struct<bi long, bj long>>, text binary")
-    paired = sets.select("component", F.inline("pairs"), "uid", "chunk", "text")
-    paired = paired.repartition(partitions(spark), "component", "bi", "bj").sortWithinPartitions("component", "bi", "bj")
-    linked = cut(paired.mapInArrow(_verifier(threshold), "uid long, links long, root long"))
-
-    classes = components(linked.select(F.col("uid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "uid")
-    counts = linked.groupBy("uid").agg(F.sum("links").alias("n_links"))
-    full = reps.select("uid", "copy_of", "n_copies").join(classes, "uid", "left").join(counts, "uid", "left")
-    full = full.withColumn("component", F.coalesce("component", "uid"))
-    heads = full.groupBy("component").agg(F.min("copy_of").alias("class_id"))
-    full = full.join(heads, "component").select("uid", "class_id", "copy_of", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    full = sets_.verified(keyed.withColumnRenamed("doc_id", "id"), reps, loose, _shingled(k), threshold, block_docs, block_shingles)
     return keyed.select("doc_id", "uid").join(full, "uid").select("doc_id", "class_id", "copy_of", "n_copies", "n_links", "uid")
 
 

@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetrace.llm.graph import components
-from kinetrace.llm.neardup import _verifier
 from kinetrace.llm.text import U, minhash, mix, multipliers, shingles, span_hashes, utf8, word_blocks, word_bounds
+from kinetrace.operators.sets import verifier
 from kinetrace.session import cut, partitions, prepare
 
 NO_ID = -(1 << 63)
@@ -204,7 +204,7 @@ def _bucket_links(members: DataFrame, edges: DataFrame, good: DataFrame, sets: D
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.join(sets, "h").select(F.col("key").alias("component"), F.least("chunk", "other").alias("bi"), F.greatest("chunk", "other").alias("bj"), F.col("h").alias("uid"), "chunk", F.col("set").alias("text"))
     dealt = dealt.repartition(partitions(sets.sparkSession), "component", "bi", "bj").sortWithinPartitions("component", "bi", "bj")
-    return dealt.mapInArrow(_verifier(threshold), "uid long, links long, root long").select(F.col("uid").alias("a"), F.col("root").alias("b")).where("a <> b")
+    return dealt.mapInArrow(verifier(threshold), "uid long, links long, root long").select(F.col("uid").alias("a"), F.col("root").alias("b")).where("a <> b")
 
 
 def line_clusters(texts: DataFrame, least: int, bands: int, rows: int, threshold: float, block_lines: int = 1000, block_shingles: int = 100_000) -> DataFrame:

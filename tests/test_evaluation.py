@@ -1,11 +1,15 @@
 """Evaluation measures against closed forms and brute force."""
 
+from functools import partial
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from kinetrace.functions import tasks
 from kinetrace.operators import evaluation as ev
+from kinetrace.operators import sets
+from kinetrace.plans.catalog import token_jaccard
 from pyspark.sql import functions as F
 
 
@@ -129,3 +133,59 @@ def test_large_rows_keep_robust_rules_robust():
     rows = np.vstack([np.tile([1.0, 0.0], (9, 1)), [[-1.0, 0.0]]])
     assert tasks.trimmed(rows, 10, 0.2) @ [1, 0] > 0.99 and tasks.medoid(rows, 10).tolist() == [1.0, 0.0]
     assert tasks.huber(rows, 10, 0.5) @ [1, 0] > 0.99
+
+
+def _alike_by_brute_force(items, t):
+    """id -> (class_id, copy_of, n_copies, n_links) of rows (id, words) with distinct ids."""
+    same = {}
+    for i, w in items:
+        if w:
+            same.setdefault(frozenset(w), []).append(i)
+    found = list(same)
+    near = {s: [x for x in found if x != s and len(s & x) / len(s | x) >= t] for s in found}
+    want = {i: (i, i, 1, 0) for i, w in items if not w}
+    for s in found:
+        seen, todo = {s}, [s]
+        while todo:
+            for x in near[todo.pop()]:
+                if x not in seen:
+                    seen.add(x)
+                    todo.append(x)
+        want |= {i: (min(min(same[x]) for x in seen), min(same[s]), len(same[s]), len(near[s])) for i in same[s]}
+    return want
+
+
+@pytest.mark.parametrize(("small", "listed"), [(256, 1 << 18), (3, 5), (1, 0)])
+def test_alike_by_brute_force(spark, monkeypatch, small, listed):
+    """Pairs of small groups and forests of large ones lose no link, whatever the list of frequent members."""
+    monkeypatch.setattr(sets, "_met", partial(sets._met, small=small))
+    rng = np.random.default_rng(6)
+    items = []
+    for n in (1, 2, 4, 5, 9, 10, 40, 70, 200):
+        for _ in range(4):
+            base = {f"w{x}" for x in rng.integers(0, 4000, n)} | {"the"}
+            items.append(base)
+            for drop in (0, 1, 2, n // 9, n // 5):
+                items.append(set(list(base)[: max(1, len(base) - drop)]) | {f"n{x}" for x in rng.integers(0, 99, drop // 2)})
+    items += [set(), {"a"}, {"a"}, set()]
+    rows = [(i, sorted(w) * 2) for i, w in enumerate(items)]
+    for t in (0.5, 0.8):
+        got = {r.id: (r.class_id, r.copy_of, r.n_copies, r.n_links) for r in sets.alike(spark.createDataFrame(rows, "id long, words array<string>"), t, listed=listed).collect()}
+        assert got == _alike_by_brute_force([(i, set(w)) for i, w in rows], t)
+        assert sum(x[3] for x in got.values()) > 100
+
+
+def test_alike_rows_and_exchange(spark):
+    """A group of near copies gives one row a document and no pairs; rows of null words or ids are kept; an empty table gives none."""
+    rows = [(i, ["x", "y", "z", "u", "v", "w", "p", "q", "r", f"n{i}"]) for i in range(400)] + [(None, None), (None, ["x"]), (7, [None, "x"])]
+    df = spark.createDataFrame(rows, "id long, words array<string>")
+    got = [(r.id, r.class_id, r.n_copies, r.n_links) for r in sets.alike(df, 0.8).collect()]
+    assert len(got) == 403 and {x[1:] for x in got if x[3]} == {(0, 1, 399)}
+    assert {x[1:] for x in got if x[3] == 0} == {(7, 2, 0), (None, 1, 0)}
+    assert sets.alike(df.limit(0), 0.8).count() == 0
+
+
+def test_token_jaccard_gives_classes(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", tasks.tokens("text").alias("w")).collect()
+    got = {r.doc_id: (r.class_id, r.copy_of, r.n_copies, r.n_links) for r in token_jaccard(spark, sf).collect()}
+    assert got == _alike_by_brute_force([(r.doc_id, set(r.w or [])) for r in docs], 0.8)
