@@ -2,10 +2,10 @@
 
 Every text gets `trees` MinHash sequences of `max_depth` values. In each tree the sequences are sorted, as
 the leaves of a prefix trie; texts that share a prefix are candidates. The prefix starts at `max_depth` values and is
-shortened, value by value, until the recall reaches its target. Recall is measured: of a bounded sample of texts (about
-`sample`, by hash, of 10,000 shingles at most) all partners among all texts are found exactly, and each such pair knows
-the longest prefix that it shares in some tree. Only pairs less than BAND above the threshold count, which are the hardest; where
-the sample has fewer than LEAST_PAIRS of them, the chance of a pair at the threshold is taken instead.
+shortened, value by value, until the chance to lose a pair exactly at the threshold, the hardest one, is at most
+`lost`. No sample of the texts decides it: with 16 trees and a threshold of 0.8 the prefix is one value, and a pair is lost with
+a chance of 0.2**16, about 7 in 10**12. Longer prefixes lose pairs that are there (four values 2 in 10,000), so that there is
+no exact rest to find beside them. Texts that share a value by chance are told apart by their sketches, in the canopies.
 
 The sort is a range partitioning on (tree, sequence, text), so that a prefix which a third of all texts
 share spreads over many tasks. Canopies join the candidates of a prefix into loose candidate groups with one
@@ -39,8 +39,8 @@ from kinetrace.session import cut, partitions, prepare
 
 #: Estimated likeness above which a canopy takes a text in, and above which the text needs no other canopy.
 LOOSE, TIGHT, RIM = 0.5, 0.88, 0.4
-#: Sampled pairs that measure recall: how far above the threshold, how many at least, and the largest set of a sampled text.
-BAND, LEAST_PAIRS, LARGEST = 0.1, 200, 10_000
+#: Pairs that measure recall: how far above the threshold, and how many at least.
+BAND, LEAST_PAIRS = 0.1, 200
 #: The most bits of a block's incidence matrix that are held at a time.
 MATRIX = sets_.MATRIX
 
@@ -48,8 +48,8 @@ MATRIX = sets_.MATRIX
 def forest_depth(threshold: float, trees: int, max_depth: int, recall: float, measured: dict[int, int] | None = None) -> int:
     """The longest prefix that reaches the target recall.
 
-    `measured` counts true pairs by the longest prefix that they share in some tree; without enough of them the chance
-    of a pair at the threshold decides.
+    The chance of a pair at the threshold decides. Only where a caller states them, `measured` counts true pairs by the
+    longest prefix that they share in some tree, and decides if there are enough; `near_duplicates` states none.
     """
     found = measured or {}
     pairs, depth = sum(found.values()), max_depth
@@ -65,7 +65,7 @@ def forest_depth(threshold: float, trees: int, max_depth: int, recall: float, me
 
 
 class Sample:
-    """Sampled shingle sets with an index from shingle to sets, and their MinHash sequences."""
+    """Stated shingle sets with an index from shingle to sets, and their MinHash sequences: measures recall, and decides nothing."""
 
     def __init__(self, uids: list[int], sets: list[np.ndarray], mult: np.ndarray, trees: int, threshold: float):
         self.uids, self.size = uids, np.array([len(x) for x in sets], np.int64)
@@ -80,7 +80,7 @@ class Sample:
         self.low, self.high = (low.numerator, low.denominator), (high.numerator, high.denominator)
 
     def depths(self, uid: int, h: np.ndarray, sig: np.ndarray) -> list[int]:
-        """For each sampled partner just above the threshold: the longest prefix that it shares with a text in some tree."""
+        """For each stated partner just above the threshold: the longest prefix that it shares with a text in some tree."""
         at = np.searchsorted(self.shingle, h)
         at = at[at < len(self.shingle)] if len(at) and at[-1] == len(self.shingle) else at
         at = at[self.shingle[at] == h[: len(at)]]
@@ -95,37 +95,25 @@ class Sample:
         return np.cumprod(same, axis=2).sum(axis=2).max(axis=1).tolist()
 
 
-def _signer(k: int, trees: int, depth: int, shared=None):
+def _signer(k: int, trees: int, depth: int, kept: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mult = multipliers(trees * depth, 9)
-        sample = None if shared is None else shared.value
         for batch in batches:
-            size, sig, sketch, depths = [], [], [], []
-            for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text"), strict=True):
+            size, sig, sketch = [], [], []
+            for text in batch.column("text"):
                 h = shingles(text.as_py(), k)
                 size.append(len(h))
                 m = minhash(h, mult) if len(h) else None
-                sig.append(None if m is None else m.astype(">u4").tobytes())
+                sig.append(None if m is None else m.astype(">u4").reshape(trees, depth)[:, :kept].tobytes())
                 sketch.append(None if m is None else (m & 0xFF).astype(np.uint8).tobytes())
-                depths.append(sample.depths(uid, h, m) if sample and m is not None else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("uid"), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary()), pa.array(depths, pa.list_(pa.int32()))],
-                ["doc_id", "uid", "size", "sig", "sketch", "depths"],
+                [batch.column("doc_id"), batch.column("uid"), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(sketch, pa.binary())],
+                ["doc_id", "uid", "size", "sig", "sketch"],
             )
 
     return sign
 
 
-def _sampled(keyed: DataFrame, k: int, sample: int, mult: np.ndarray, trees: int, threshold: float) -> Sample | None:
-    """About `sample` texts, those whose hash a number divides; at most twice as many."""
-    every = max(1, keyed.count() // max(sample, 1))
-    few = keyed.where(F.expr(f"pmod(uid, {every}) = 0")).dropDuplicates(["uid"]).limit(2 * sample)
-    sets = few.select("uid", "text").mapInArrow(_shingled(k), "uid long, text binary").where(F.octet_length("text").between(8, 8 * LARGEST)).toArrow()
-    if not sets.num_rows:
-        return None
-    return Sample(sets.column("uid").to_pylist(), [np.frombuffer(x, np.uint64) for x in sets.column("text").to_pylist()], mult, trees, threshold)
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
 
@@ -236,8 +224,7 @@ def near_duplicates(
     threshold: float = 0.8,
     trees: int = 16,
     max_depth: int = 6,
-    recall: float = 0.999,
-    sample: int = 2000,
+    lost: float = 1e-9,
     block_docs: int = 1000,
     block_shingles: int = 1_000_000,
 ) -> DataFrame:
@@ -248,15 +235,12 @@ def near_duplicates(
     """
     spark = prepare(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("uid"), F.coalesce("text", F.lit("")).alias("text"))
-    few = _sampled(keyed, k, sample, multipliers(trees * max_depth, 9), trees, threshold) if sample else None
-    shared = None if few is None else spark.sparkContext.broadcast(few)
-    signed = keyed.mapInArrow(_signer(k, trees, max_depth, shared), "doc_id long, uid long, size long, sig binary, sketch binary, depths array<int>")
-    reps = cut(signed.groupBy("uid").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n_copies"), *(F.first(c).alias(c) for c in ("size", "sig", "sketch", "depths"))))
-    measured = {r.d: r["count"] for r in reps.select(F.explode("depths").alias("d")).groupBy("d").count().collect()}
-    depth = forest_depth(threshold, trees, max_depth, recall, measured)
+    depth = forest_depth(threshold, trees, max_depth, 1 - lost)
+    signed = keyed.mapInArrow(_signer(k, trees, max_depth, depth), "doc_id long, uid long, size long, sig binary, sketch binary")
+    reps = cut(signed.groupBy("uid").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n_copies"), *(F.first(c).alias(c) for c in ("size", "sig", "sketch"))))
 
     leaves = reps.where("sig is not null").select("uid", "sketch", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    leaves = leaves.select("tree", F.expr(f"substring(sig, tree * {4 * max_depth} + 1, {4 * depth})").alias("key"), "uid", "sketch")
+    leaves = leaves.select("tree", F.expr(f"substring(sig, tree * {4 * depth} + 1, {4 * depth})").alias("key"), "uid", "sketch")
     tries = leaves.repartitionByRange(partitions(spark), "tree", "key", "uid").sortWithinPartitions("tree", "key", "uid")
     found = cut(tries.mapInArrow(_canopies(depth), "kind int, a long, b long, run binary, sketch binary").where("kind = 1 or a <> b"))
     rims = found.where("kind = 1").dropDuplicates(["run", "a"]).groupBy("run").applyInPandas(_stitch, "a long, b long")
