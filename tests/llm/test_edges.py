@@ -158,3 +158,12 @@ def test_no_sample_decides_what_pairs_are_found(spark, monkeypatch):
     assert [i for i in range(len(texts)) if got[i] != (i - i % 2, 1)] == []
     assert neardup.keep_one(df).count() == len(texts) // 2
     assert {(measured, (1 - 0.8**d) ** 16 < 1e-9) for d, measured in chosen} == {(False, True)}
+
+
+def test_the_pipeline_takes_no_sample(spark, sf, monkeypatch):
+    import corpus_pipeline
+
+    stated, whole = [], neardup.forest_depth
+    monkeypatch.setattr(neardup, "forest_depth", lambda *a: stated.append(a[4:]) or whole(*a))
+    kept = corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    assert stated == [()] and "sample" not in neardup.near_duplicates.__code__.co_varnames and kept.columns
